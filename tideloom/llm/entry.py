@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideloom.llm.fertility import op1_tokenizer_fertility
+from tideloom.llm.neardup import op2_order_minhash
 from tideloom.llm.packing import op6_sum_of_squares_packing
 from tideloom.llm.quality import op8_random_indexing_quality
+from tideloom.llm.repeats import op5_fingerprint_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokenizer_fertility": op1_tokenizer_fertility,
+    "op2_order_minhash": op2_order_minhash,
+    "op5_fingerprint_log": op5_fingerprint_log,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op8_random_indexing_quality": op8_random_indexing_quality,
 }
