@@ -11,12 +11,16 @@ from tideloom.llm.neardup import op2_order_minhash
 from tideloom.llm.packing import op6_sum_of_squares_packing
 from tideloom.llm.quality import op8_random_indexing_quality
 from tideloom.llm.repeats import op5_fingerprint_log
+from tideloom.llm.sharding import op7_differencing_shards
+from tideloom.llm.urls import op4_redirect_equivalence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokenizer_fertility": op1_tokenizer_fertility,
     "op2_order_minhash": op2_order_minhash,
+    "op4_redirect_equivalence": op4_redirect_equivalence,
     "op5_fingerprint_log": op5_fingerprint_log,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
+    "op7_differencing_shards": op7_differencing_shards,
     "op8_random_indexing_quality": op8_random_indexing_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
