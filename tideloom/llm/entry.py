@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideloom.llm.fertility import op1_tokenizer_fertility
+from tideloom.llm.licenses import op9_signature_rules
 from tideloom.llm.neardup import op2_order_minhash
 from tideloom.llm.packing import op6_sum_of_squares_packing
 from tideloom.llm.quality import op8_random_indexing_quality
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op7_differencing_shards": op7_differencing_shards,
     "op8_random_indexing_quality": op8_random_indexing_quality,
+    "op9_signature_rules": op9_signature_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
