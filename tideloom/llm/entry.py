@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tideloom.llm.fertility import op1_tokenizer_fertility
 from tideloom.llm.licenses import op9_signature_rules
 from tideloom.llm.neardup import op2_order_minhash
+from tideloom.llm.neighbours import op3_robust_pruned_graph
 from tideloom.llm.packing import op6_sum_of_squares_packing
 from tideloom.llm.quality import op8_random_indexing_quality
 from tideloom.llm.repeats import op5_fingerprint_log
@@ -18,6 +19,7 @@ from tideloom.llm.urls import op4_redirect_equivalence
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokenizer_fertility": op1_tokenizer_fertility,
     "op2_order_minhash": op2_order_minhash,
+    "op3_robust_pruned_graph": op3_robust_pruned_graph,
     "op4_redirect_equivalence": op4_redirect_equivalence,
     "op5_fingerprint_log": op5_fingerprint_log,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
