@@ -11,6 +11,7 @@ from tideloom.llm.licenses import op9_signature_rules
 from tideloom.llm.neardup import op2_order_minhash
 from tideloom.llm.neighbours import op3_robust_pruned_graph
 from tideloom.llm.packing import op6_sum_of_squares_packing
+from tideloom.llm.pieces import op10_batched_viterbi
 from tideloom.llm.quality import op8_random_indexing_quality
 from tideloom.llm.repeats import op5_fingerprint_log
 from tideloom.llm.sharding import op7_differencing_shards
@@ -26,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_differencing_shards": op7_differencing_shards,
     "op8_random_indexing_quality": op8_random_indexing_quality,
     "op9_signature_rules": op9_signature_rules,
+    "op10_batched_viterbi": op10_batched_viterbi,
 }
 ORACLE_SQL: dict[str, str] = {}
