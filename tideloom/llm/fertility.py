@@ -133,6 +133,27 @@ def scripts(texts: Texts) -> np.ndarray:
     return np.where(table.max(1, initial=0) > 0, table.argmax(1), len(SCRIPTS) - 1)
 
 
+def _verdicts(part: pa.RecordBatch, piece_model: str, byte_ranks: str, known: Bands) -> dict[str, pa.Array]:
+    """The columns of SCHEMA for some rows."""
+    texts = Texts(part.column("text"))
+    hashes = texts.hashes()
+    base, tokens = base_counts(texts, hashes), token_metrics(texts, hashes, piece_model, byte_ranks)
+    failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
+    script = np.array(SCRIPTS, object)[scripts(texts)]
+    langs = part.column("lang").to_pylist() if "lang" in part.schema.names else [None] * texts.n
+    which = [lang if lang in known else s if s in known else "other" for lang, s in zip(langs, script)]
+    out_of = {}
+    for m in METRICS:
+        low, high = (np.array([known.get(w, {}).get(m, (-np.inf, np.inf))[k] for w in which], float) for k in (0, 1))
+        out_of[m] = (tokens[m] < low) | (tokens[m] > high)
+    reasons = [[m for m in METRICS if out_of[m][i]] for i in range(texts.n)]
+    kept = ~failed & np.array([not r for r in reasons], bool)
+    columns = {"doc_id": part.column("doc_id").cast(pa.int64())} | {k: pa.array(v.astype(np.int64)) for k, v in base.items()}
+    columns |= {"base_failed": pa.array(failed), "kept": pa.array(kept), "script": pa.array(script.tolist(), pa.string())}
+    columns |= {k: pa.array(v, pa.float64(), mask=np.isnan(v)) for k, v in tokens.items()}
+    return columns | {"failed_bands": pa.array(reasons, pa.list_(pa.string()))}
+
+
 def fertility_rules(docs: DataFrame, piece_model: str, byte_ranks: str, bands: Bands = DEFAULT_BANDS) -> DataFrame:
     """Judges every row's whole text by base rules and by tokeniser-fertility bands.
 
@@ -143,32 +164,27 @@ def fertility_rules(docs: DataFrame, piece_model: str, byte_ranks: str, bands: B
     null metrics and fail; repeated rows are judged alike; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    has_lang = "lang" in docs.columns
-    known = {k: {m: tuple(v) for m, v in b.items()} for k, b in bands.items()}
+    known = {k: dict(b) for k, b in bands.items()}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                texts = Texts(part.column("text"))
-                hashes = texts.hashes()
-                base, tokens = base_counts(texts, hashes), token_metrics(texts, hashes, piece_model, byte_ranks)
-                failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-                script = np.array(SCRIPTS, object)[scripts(texts)]
-                langs = part.column("lang").to_pylist() if has_lang else [None] * texts.n
-                which = np.array([lang if lang in known else s if s in known else "other" for lang, s in zip(langs, script)], object)
-                out_of = {}
-                for m in METRICS:
-                    low, high = (np.array([known.get(w, {}).get(m, (-np.inf, np.inf))[k] for w in which], float) for k in (0, 1))
-                    out_of[m] = (tokens[m] < low) | (tokens[m] > high)
-                reasons = [[m for m in METRICS if out_of[m][i]] for i in range(texts.n)]
-                kept = ~failed & np.array([not r for r in reasons], bool)
-                columns = {k: pa.array(v.astype(np.int64)) for k, v in base.items()}
-                columns |= {"base_failed": pa.array(failed), "kept": pa.array(kept), "script": pa.array(script.tolist(), pa.string())}
-                columns |= {k: pa.array(v, pa.float64(), mask=np.isnan(v)) for k, v in tokens.items()}
-                columns |= {"failed_bands": pa.array(reasons, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), **columns})
-
-    return docs.select("doc_id", "text", *(["lang"] if has_lang else [])).mapInArrow(judge, SCHEMA)
+                yield pa.RecordBatch.from_pydict(_verdicts(part, piece_model, byte_ranks, known))
+
+    return docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else [])).mapInArrow(judge, SCHEMA)
+
+
+def filter_fertility(docs: DataFrame, piece_model: str, byte_ranks: str, bands: Bands = DEFAULT_BANDS) -> DataFrame:
+    """The rows of docs, all columns, that fertility_rules keeps."""
+    small_batches(docs.sparkSession)
+    known = {k: dict(b) for k, b in bands.items()}
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(_verdicts(part, piece_model, byte_ranks, known)["kept"])
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op1_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
