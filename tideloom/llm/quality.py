@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.llm.common import small_batches, table
-from tideloom.llm.textarrays import Texts, mix, slices
+from tideloom.llm.textarrays import Texts, mix, run_hash, slices
 
 #: Most labelled rows a fit reads: those with the smallest hashes of doc_id.
 MAX_TRAINING_ROWS = 5000
@@ -43,8 +44,6 @@ def terms(texts: Texts) -> np.ndarray:
     change[1:] = kind[1:] != kind[:-1]
     change[texts.starts] = True
     at = np.flatnonzero(change)
-    from tideloom.llm.textarrays import run_hash
-
     shape = run_hash(mix(kind[at]), np.searchsorted(at, texts.starts), np.searchsorted(at, texts.ends))
     n = len(hashes)
     repeat = np.zeros(n, np.int64)
@@ -73,11 +72,12 @@ def index_vectors() -> np.ndarray:
 def context_vectors(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Each term's own index vector plus those of all terms of the words at most WINDOW away, at length one.
 
-    parts: (terms, text number) of the words of the sample.
+    parts: (terms, words of each text) of slices of the sample.
     """
     index = index_vectors()
     total = np.zeros_like(index)
-    for term, doc in parts:
+    for term, counts in parts:
+        doc = np.repeat(np.arange(len(counts)), counts)
         word = index[term].sum(1)  # of a word: its terms together
         near = np.zeros_like(word)
         for k in range(1, WINDOW + 1):
@@ -92,19 +92,19 @@ def context_vectors(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
                 total[key[start]] += np.add.reduceat(near[order], start)
     size = np.linalg.norm(total, axis=1, keepdims=True)
     context = np.divide(total, size, out=np.zeros_like(total), where=size > 0)
-    both = index / np.sqrt(NONZERO) + context
-    return both / np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-9)
+    both = index / np.float32(NONZERO**0.5) + context
+    return (both / np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(texts: Texts, vectors: np.ndarray) -> np.ndarray:
+def pooled(term: np.ndarray, counts: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean vector of each text's words, shapes and repetitions, side by side; zero for texts without words."""
-    out = np.zeros((texts.n, 3 * DIM), np.float32)
-    full = np.flatnonzero(texts.counts)
+    out = np.zeros((len(counts), 3 * DIM), np.float32)
+    full = np.flatnonzero(counts)
     if len(full):
-        term = terms(texts)
+        first = (np.cumsum(counts) - counts)[full]
         for k in range(3):
-            out[full, k * DIM : (k + 1) * DIM] = np.add.reduceat(vectors[term[:, k]], texts.first[full])
-        out[full] /= texts.counts[full, None]
+            out[full, k * DIM : (k + 1) * DIM] = np.add.reduceat(vectors[term[:, k]], first)
+        out[full] /= counts[full, None]
     return out
 
 
@@ -172,19 +172,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) -> tu
     """(word vectors, network) from at most `rows` labelled rows that are not held out.
 
     The rows with the smallest hashes of doc_id are taken, so the sample does not depend
-    on order or partitions. Without rows of both labels the score is the label's rate.
+    on order or partitions. One task reads this bounded sample and returns the model.
+    Without rows of both labels the score is the label's rate.
     """
     chosen = labels.filter(F.col("quality").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    parts, sample = [], []
-    for batch in got.to_batches(500):
-        for part in slices(batch):
-            sample.append(texts := Texts(part.column("text")))
-            parts.append((terms(texts), texts.doc))
-    vectors = context_vectors(parts)
-    x = np.concatenate([pooled(t, vectors) for t in sample]) if sample else np.zeros((0, 3 * DIM), np.float32)
-    return vectors, train(x, got.column("_quality").to_numpy())
+    # of rows with one doc_id the smallest text counts
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_quality").alias("_quality"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, truth = [], []
+        for batch in batches:
+            for part in slices(batch):
+                texts = Texts(part.column("text"))
+                parts.append((terms(texts).astype(np.int32), texts.counts))
+                truth.append(part.column("_quality").to_numpy())
+        vectors = context_vectors(parts)
+        x = np.concatenate([pooled(t, c, vectors) for t, c in parts]) if parts else np.zeros((0, 3 * DIM), np.float32)
+        model = pickle.dumps((vectors.astype(np.float16), train(x, np.concatenate(truth) if truth else np.zeros(0))))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([model], pa.binary())})
+
+    ordered = sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(learn, "model binary")
+    model = ordered.collect()
+    return pickle.loads(model[0][0]) if model else (context_vectors([]).astype(np.float16), train(np.zeros((0, 3 * DIM)), np.zeros(0)))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = MAX_TRAINING_ROWS) -> DataFrame:
@@ -200,15 +210,34 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, ro
     model = spark.sparkContext.broadcast(fit(docs, labels, rows))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, net = model.value
-        for batch in batches:
-            for part in slices(batch):
-                score = net.score(pooled(Texts(part.column("text")), vectors).astype(np.float64))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "held_out": part.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
+        for part, score in _scored(batches, model.value):
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "held_out": part.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
 
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(judge, SCHEMA)
 
 
+def _scored(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, Network]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    vectors, net = model
+    vectors = vectors.astype(np.float32)
+    for batch in batches:
+        for part in slices(batch):
+            texts = Texts(part.column("text"))
+            yield part, net.score(pooled(terms(texts), texts.counts, vectors).astype(np.float64))
+
+
+def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; see score_quality."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    model = spark.sparkContext.broadcast(fit(docs, labels, rows))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, score in _scored(batches, model.value):
+            yield part.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op8_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
