@@ -1,0 +1,105 @@
+"""Registry of generators: classes, quotas, tags and the record that each series carries."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+import numpy as np
+
+from tideloom.generators.kit import Strata, stream
+
+PROFILES = ("full", "stationary1000")
+CLASSES = "ABCDEFGHIJKLMN"
+#: Tag columns, their values, and the ground-truth numbers a series may carry.
+TAGS = (
+    "stationary", "linear", "gaussian", "deterministic", "chaotic", "periodic", "quasiperiodic", "long_memory", "heavy_tailed", "multifractal",
+    "heteroskedastic", "regime_switching", "discrete_valued", "event_like", "bursty", "oscillatory", "time_reversible", "continuous_time", "nonstationary_kind", "domain",
+)
+VALUES = ("yes", "no", "partly", "na")
+NUMERICS = ("lyapunov", "hurst", "period_samples", "tail_index", "noise_sigma", "phi", "dimension", "snr_db", "burstiness", "rate", "corr_time")
+DEFAULTS = {t: "no" for t in TAGS} | {"stationary": "yes", "time_reversible": "na", "nonstationary_kind": "none", "domain": "abstract"}
+
+
+@dataclass(frozen=True)
+class Generator:
+    """gen(i, rng, T, S) -> (x, info); info holds tags, numerics, parameters and vectors of length T."""
+
+    cls: str
+    key: str
+    gen: Callable[[int, np.random.Generator, int, Strata], tuple[np.ndarray, dict]]
+    quota: dict[str, int]
+    tags: dict[str, str] = field(default_factory=dict)
+    order: int = 0
+
+    @property
+    def name(self) -> str:
+        return f"{self.cls}.{self.key}"
+
+
+GENERATORS: dict[str, Generator] = {}
+
+
+def register(cls: str, key: str, full: int, stationary1000: int, /, **tags: str) -> Callable:
+    """Registers a generator; unknown classes, tags or values and names in use raise."""
+
+    def put(gen: Callable) -> Callable:
+        if cls not in CLASSES:
+            raise ValueError(f"unknown class {cls}")
+        for tag, value in tags.items():
+            if tag not in TAGS or (tag not in ("domain", "nonstationary_kind") and value not in VALUES):
+                raise ValueError(f"unknown tag {tag}={value}")
+        made = Generator(cls, key, gen, dict(zip(PROFILES, (full, stationary1000))), tags, len(GENERATORS))
+        if made.name in GENERATORS:
+            raise KeyError(made.name)
+        GENERATORS[made.name] = made
+        return gen
+
+    return put
+
+
+def load() -> dict[str, Generator]:
+    """All generators."""
+    from tideloom.generators import events, flows, linear, natural, nonlinear  # noqa: F401
+
+    return GENERATORS
+
+
+def gate(x: np.ndarray, discrete: bool) -> str | None:
+    """The first reason against a series, None if it passes."""
+    if x.ndim != 1:
+        return "not one-dimensional"
+    if not np.isfinite(x).all():
+        return "non-finite"
+    if len(x) and np.abs(x).max() > 1e12:
+        return "overflow"
+    if x.std() == 0:
+        return "constant"
+    if np.unique(x).size < (2 if discrete else 10):
+        return "few values"
+    return None
+
+
+def generate(name: str, index: int, T: int = 1000, profile: str = "full", manual: int = 0, attempts: int = 8) -> dict:
+    """One series and its record; a failing attempt is drawn again under its own name.
+
+    A pure function of its arguments: order, partitions and hosts do not matter.
+    """
+    if profile not in PROFILES:
+        raise KeyError(profile)
+    made = load()[name]
+    n = made.quota[profile] or max(made.quota.values()) or 1
+    reason = None
+    for attempt in range(attempts):
+        base = (made.cls, made.key, index, *(("manual", manual) if manual else ()), *(("retry", attempt) if attempt else ()))
+        with np.errstate(all="ignore"):
+            x, info = made.gen(index, stream(*base), T, Strata(name, index, n))
+        x = np.asarray(x, float)
+        tags = DEFAULTS | made.tags | {k: v for k, v in info.items() if k in TAGS}
+        reason = f"length {len(x)}" if len(x) != T else gate(x, tags["discrete_valued"] == "yes")
+        if reason is None:
+            vectors = {k: v for k, v in info.items() if isinstance(v, np.ndarray) and v.shape == (T,)}
+            numbers = {k: float(v) for k, v in info.items() if k in NUMERICS}
+            rest = {k: v for k, v in info.items() if k not in TAGS and k not in NUMERICS and k not in vectors}
+            return {"x": x, "tags": tags, "numerics": numbers, "params": rest, "vectors": vectors, "attempt": attempt, "seed_name": "/".join(map(str, base))}
+    raise RuntimeError(f"{name}[{index}]: {reason}")

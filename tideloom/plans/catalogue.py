@@ -529,3 +529,30 @@ def _(spark, d):
 @query("pca_scores")
 def _(spark, d):
     return similarity.pca(features(spark, d))
+
+
+# ---- generators and streams -------------------------------------------------------------------------------
+
+
+@query("families", None)
+def _(spark, d):
+    from tideloom.generators import tables
+
+    return tables.families(spark).select("cls", "family", "profile", F.col("n").cast("long").alias("n"))
+
+
+@query("generated_corpus", None)
+def _(spark, d):
+    """The first series of every family, as a digest."""
+    from tideloom.generators import tables
+
+    chosen = tables.selection(spark, "full").filter("index = 0")
+    made = tables.generate(chosen, 300)
+    return made.select("id", "cls", "family", "attempt", "keywords", "sha256", "error")
+
+
+@query("event_windows", f"SELECT user_id AS id, date_trunc('day', ts) AS start, count(*) AS n, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'sd')} FROM events GROUP BY 1, 2")
+def _(spark, d):
+    from tideloom.streaming.monitor import windowed_stats
+
+    return windowed_stats(read(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
