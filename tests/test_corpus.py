@@ -1,0 +1,93 @@
+"""Generators, lifecycle and metadata operators."""
+
+import numpy as np
+import pytest
+
+from tideloom.generators import kit, registry, tables
+from tideloom.operators import corpus
+from tideloom.plans import lifecycle
+
+
+def test_quotas():
+    known = registry.load()
+    from tideloom.generators.flows import BLOCKED
+
+    assert len(known) + len(BLOCKED) == 176
+    assert sum(g.quota["full"] for g in known.values()) == 1000 - 148
+    assert sum(g.quota["stationary1000"] for g in known.values()) == 1000 - 171
+
+
+@pytest.mark.parametrize("cls", list(registry.CLASSES))
+def test_every_generator_runs(cls):
+    for name, g in registry.load().items():
+        if g.cls == cls:
+            made = registry.generate(name, 1, 240)
+            assert made["x"].shape == (240,) and np.isfinite(made["x"]).all() and made["x"].std() > 0
+
+
+def test_names_decide(spark):
+    chosen = tables.selection(spark, "full", ["B", "E", "J"], ["ar2", "garch", "renewal"])
+    one = {r.id: r.sha256 for r in tables.generate(chosen, 150).select("id", "sha256").collect()}
+    two = {r.id: r.sha256 for r in tables.generate(chosen.coalesce(1), 150).select("id", "sha256").collect()}
+    assert one == two and len(one) == 34 and None not in one.values()
+
+
+def test_strata_use_every_stratum_once():
+    drawn = sorted(kit.Strata("X.y", i, 12).draw("p", 0, 12) for i in range(12))
+    assert [int(d) for d in drawn] == list(range(12))
+
+
+def test_vectors_are_kept():
+    assert registry.generate("K.pinup", 3, 200)["vectors"]["tvp"].shape == (200,)
+
+
+def test_registration_checks():
+    with pytest.raises(ValueError):
+        registry.register("Z", "x", 1, 1)(lambda *a: None)
+    with pytest.raises(ValueError):
+        registry.register("A", "x", 1, 1, colour="yes")(lambda *a: None)
+    with pytest.raises(KeyError):
+        registry.register("A", "gaussian", 1, 1)(lambda *a: None)
+
+
+def test_lifecycle(spark, tmp_path):
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    first = lifecycle.build(spark, a, classes=["B", "M"], families=["ar1", "clipped"], length=120)
+    assert first.count() == 14
+    assert lifecycle.verify(spark, a, 0.3, length=120).count() == 0
+    flags = spark.createDataFrame([("TL_B_ar1_001", "retry"), ("TL_B_ar1_002", "drop")], "id string, action string")
+    second = lifecycle.build(spark, b, classes=["B", "M"], families=["ar1", "clipped"], length=120, refresh=a, flags=flags)
+    old, new = ({r.id: r.sha256 for r in d.select("id", "sha256").collect()} for d in (first, second))
+    assert set(old) - set(new) == {"TL_B_ar1_002"}
+    assert [k for k in new if new[k] != old[k]] == ["TL_B_ar1_001"]
+    assert lifecycle.subset(spark, a, c, {"cls": ["B"]}).count() == 10
+    lifecycle.export_csv(first, str(tmp_path / "csv"))
+
+
+def test_subset(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("c", 1, "y")], "id string, k int, s string")
+    both = {r.id for r in corpus.subset(df, {"k": ["1"], "s": ["x"]}).collect()}
+    assert both == {r.id for r in corpus.subset(df, {"k": ["1"]}).intersect(corpus.subset(df, {"s": ["x"]})).collect()} == {"a"}
+    with pytest.raises(KeyError):
+        corpus.subset(df, {"nothing": ["1"]})
+
+
+def test_array_files(spark, tmp_path):
+    from tideloom.sources import files
+
+    np.savez(tmp_path / "s.npz", X=np.arange(6.0).reshape(2, 3), ids=np.array(["a", "b"]))
+    back = files.read_npz(spark, str(tmp_path))
+    assert {r.id: r.x for r in back.collect()} == {"a": [0, 1, 2], "b": [3, 4, 5]}
+    assert sum(1 for r in files.npz_bytes(back).collect() if r.content) >= 1
+
+
+def test_stream(spark, sf, tmp_path):
+    from tideloom.streaming.monitor import windowed_stats
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    spark.read.parquet(f"{sf}/events.parquet").write.parquet(str(tmp_path / "in"))
+    stream = windowed_stats(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    run = stream.writeStream.format("memory").queryName("monitor").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    table = windowed_stats(spark.read.parquet(str(tmp_path / "in")))
+    assert spark.table("monitor").count() == table.count()

@@ -335,17 +335,20 @@ def laser(i, rng, T, S):
 def oregonator(i, rng, T, S):
     """Stiff kinetics by the implicit Euler rule with Newton steps."""
     q, eps, f = 0.002, 0.04, S.draw("f", 0.7, 1.0)
-    x, out, dt = np.array([0.1, 0.1]), np.empty(T), 0.05
+    x, out, dt = np.array([0.1, 0.1]), np.empty(T), 0.01
     rate = lambda x: np.array([(x[0] * (1 - x[0]) - f * x[1] * (x[0] - q) / (x[0] + q)) / eps, x[0] - x[1]])
-    for t in range(T + 200):
+    for t in range(8 * (T + 100)):
         y = x.copy()
-        for _ in range(12):
+        for _ in range(6):
             d = (y[0] + q) ** 2
             J = np.array([[(1 - 2 * y[0] - 2 * f * y[1] * q / d) / eps, -f * (y[0] - q) / (y[0] + q) / eps], [1, -1]])
-            y = np.maximum(y - np.linalg.solve(np.eye(2) - dt * J, y - x - dt * rate(y)), 1e-9)
+            step = np.linalg.solve(np.eye(2) - dt * J, y - x - dt * rate(y))
+            y = np.maximum(y - step, q / 2)
+            if np.abs(step).max() < 1e-9:
+                break
         x = y
-        if t >= 200:
-            out[t - 200] = x[0]
+        if t % 8 == 7 and t // 8 >= 100:
+            out[t // 8 - 100] = x[0]
     x = np.log(out)
     return x + 0.02 * x.std() * rng.standard_normal(T), {"f": f}
 

@@ -140,7 +140,7 @@ def screen(series: DataFrame, meta: DataFrame) -> DataFrame:
     meta: id, cls, event_like, bursty. Ten windows; head and tail are a twentieth of the series.
     """
     event = (F.col("event_like") == "yes") | (F.col("bursty") == "yes")
-    numbered = series.withColumn("n", F.count("*").over(S.BY_ID))
+    numbered = series.withColumn("n", F.count("*").over(S.by_id()))
     edge = F.floor(F.col("n") / 20)
     part = F.when(F.col("t") < edge, "head").when(F.col("t") >= F.col("n") - edge, "tail").otherwise("mid")
     ends = numbered.groupBy("id").agg(

@@ -8,11 +8,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_ID = Window.partitionBy("id")
-IN_ORDER = BY_ID.orderBy("t")
+
+def by_id() -> WindowSpec:
+    return Window.partitionBy("id")
+
+
+def in_order() -> WindowSpec:
+    return by_id().orderBy("t")
 
 
 def to_arrays(series: DataFrame) -> DataFrame:
@@ -36,7 +41,7 @@ def window_stationarity(series: DataFrame, windows: int = 5) -> DataFrame:
 
     The tail that does not fill a window is left out of the windows but not of the whole.
     """
-    numbered = series.withColumn("n", F.count("*").over(BY_ID)).withColumn("sd", F.stddev_pop("v").over(BY_ID))
+    numbered = series.withColumn("n", F.count("*").over(by_id())).withColumn("sd", F.stddev_pop("v").over(by_id()))
     width = F.floor(F.col("n") / windows)
     part = numbered.withColumn("w", F.floor(F.col("t") / width)).filter(F.col("w") < windows)
     stats = part.groupBy("id", "n", "sd", "w").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
@@ -74,8 +79,8 @@ def real_valued_gate(series: DataFrame, meta: DataFrame, least: int = 100) -> Da
 
 def acf(series: DataFrame, lags: int) -> DataFrame:
     """(id, k, r): biased autocorrelation at lags 1..lags; 0 for constant series."""
-    centred = series.select("id", "t", (F.col("v") - F.avg("v").over(BY_ID)).alias("z"))
-    ahead = centred.select("id", "t", "z", F.collect_list("z").over(IN_ORDER.rowsBetween(1, lags)).alias("next"))
+    centred = series.select("id", "t", (F.col("v") - F.avg("v").over(by_id())).alias("z"))
+    ahead = centred.select("id", "t", "z", F.collect_list("z").over(in_order().rowsBetween(1, lags)).alias("next"))
     sums = ahead.select("id", F.posexplode("next").alias("k", "y"), "z").groupBy("id", (F.col("k") + 1).cast("long").alias("k")).agg(F.sum(F.col("z") * F.col("y")).alias("c"))
     total = centred.groupBy("id").agg(F.sum(F.col("z") * F.col("z")).alias("c0"))
     return sums.join(total, "id").select("id", "k", F.when(F.col("c0") > 0, F.col("c") / F.col("c0")).otherwise(0.0).alias("r"))
@@ -94,7 +99,7 @@ def dft(series: DataFrame) -> DataFrame:
     Each value meets its series' own frequencies through an exploded sequence, not a join; sums
     combine on the map side. For series too long for n^2/2 terms use fft_power.
     """
-    centred = series.select("id", "t", (F.col("v") - F.avg("v").over(BY_ID)).alias("z"), F.count("*").over(BY_ID).alias("n"))
+    centred = series.select("id", "t", (F.col("v") - F.avg("v").over(by_id())).alias("z"), F.count("*").over(by_id()).alias("n"))
     wide = centred.filter("n >= 2").select("id", "n", "t", "z", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))).alias("k"))
     angle = 2 * math.pi * F.col("k") * F.col("t") / F.col("n")
     out = wide.groupBy("id", "n", "k").agg(F.sum(F.col("z") * F.cos(angle)).alias("a"), F.sum(F.col("z") * F.sin(angle)).alias("b"))
@@ -120,7 +125,7 @@ def spectral_peak(series: DataFrame, share: float = 0.25, reach: int = 2) -> Dat
 def welch(series: DataFrame, length: int = 256) -> DataFrame:
     """(id, k, psd, segments): Hann-windowed, mean-removed, half-overlapping segments, averaged."""
     half = length // 2
-    counted = series.withColumn("n", F.count("*").over(BY_ID))
+    counted = series.withColumn("n", F.count("*").over(by_id()))
     starts = F.array(F.floor(F.col("t") / half).cast("long"), (F.floor(F.col("t") / half) - 1).cast("long"))
     seg = counted.select("id", "t", "v", "n", F.explode(starts).alias("s")).filter((F.col("s") >= 0) & (F.col("s") * half + length <= F.col("n")))
     seg = seg.withColumn("j", F.col("t") - F.col("s") * half).withColumn("z", F.col("v") - F.avg("v").over(Window.partitionBy("id", "s")))
@@ -137,12 +142,12 @@ def welch(series: DataFrame, length: int = 256) -> DataFrame:
 
 
 def zscore(series: DataFrame) -> DataFrame:
-    return series.select("id", "t", ((F.col("v") - F.avg("v").over(BY_ID)) / _sd(F.stddev_pop("v").over(BY_ID))).alias("z"))
+    return series.select("id", "t", ((F.col("v") - F.avg("v").over(by_id())) / _sd(F.stddev_pop("v").over(by_id()))).alias("z"))
 
 
 def clip(series: DataFrame, c: float) -> DataFrame:
     """Saturates at the mean plus and minus c deviations."""
-    m, s = F.avg("v").over(BY_ID), F.stddev_pop("v").over(BY_ID)
+    m, s = F.avg("v").over(by_id()), F.stddev_pop("v").over(by_id())
     return series.select("id", "t", F.least(F.greatest("v", m - c * s), m + c * s).alias("v"))
 
 
@@ -153,18 +158,18 @@ def quantise(series: DataFrame, levels: int) -> DataFrame:
 
 
 def minmax_u8(series: DataFrame) -> DataFrame:
-    lo, hi = F.min("v").over(BY_ID), F.max("v").over(BY_ID)
+    lo, hi = F.min("v").over(by_id()), F.max("v").over(by_id())
     return series.select("id", "t", F.when(hi > lo, F.floor(255 * (F.col("v") - lo) / (hi - lo) + 0.5)).otherwise(0).cast("long").alias("u8"))
 
 
 def integrate(series: DataFrame) -> DataFrame:
     """Running sum of the centred series."""
-    centred = series.select("id", "t", (F.col("v") - F.avg("v").over(BY_ID)).alias("z"))
-    return centred.select("id", "t", F.sum("z").over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)).alias("v"))
+    centred = series.select("id", "t", (F.col("v") - F.avg("v").over(by_id())).alias("z"))
+    return centred.select("id", "t", F.sum("z").over(in_order().rowsBetween(Window.unboundedPreceding, 0)).alias("v"))
 
 
 def moving_average(series: DataFrame, reach: int) -> DataFrame:
-    return series.select("id", "t", F.avg("v").over(IN_ORDER.rowsBetween(-reach, reach)).alias("v"))
+    return series.select("id", "t", F.avg("v").over(in_order().rowsBetween(-reach, reach)).alias("v"))
 
 
 def downsample(series: DataFrame, k: int) -> DataFrame:
@@ -175,7 +180,7 @@ def downsample(series: DataFrame, k: int) -> DataFrame:
 def readout(series: DataFrame) -> DataFrame:
     """Nonlinear readouts of the standardised series: square, absolute value, exponential, cube, product with the last value."""
     z = zscore(series)
-    last = F.lag("z").over(IN_ORDER)
+    last = F.lag("z").over(in_order())
     return z.select("id", "t", (F.col("z") * F.col("z")).alias("square"), F.abs("z").alias("size"), F.exp(F.col("z") / 2).alias("exp_half"), F.pow("z", F.lit(3.0)).alias("cube"), (F.col("z") * last).alias("lagged"))
 
 
@@ -191,21 +196,21 @@ def outliers(series: DataFrame, c: float = 4.0) -> DataFrame:
 def excursions(series: DataFrame, c: float = 4.0) -> DataFrame:
     """(id, n_events): rises of `far` (not at the first sample)."""
     far = outliers(series, c)
-    rise = F.col("far") & ~F.lag("far").over(IN_ORDER)
+    rise = F.col("far") & ~F.lag("far").over(in_order())
     return far.select("id", F.coalesce(rise, F.lit(False)).alias("rise")).groupBy("id").agg(F.sum(F.col("rise").cast("long")).alias("n_events"))
 
 
 def crossings(series: DataFrame) -> DataFrame:
     """(id, n_crossings): changes of sign of the centred series."""
-    sign = series.select("id", "t", F.signum(F.col("v") - F.avg("v").over(BY_ID)).alias("s"))
-    change = F.when(F.col("s") != F.lag("s").over(IN_ORDER), 1).otherwise(0)
+    sign = series.select("id", "t", F.signum(F.col("v") - F.avg("v").over(by_id())).alias("s"))
+    change = F.when(F.col("s") != F.lag("s").over(in_order()), 1).otherwise(0)
     return sign.select("id", change.alias("c")).groupBy("id").agg(F.sum("c").alias("n_crossings"))
 
 
 def longest_flat(series: DataFrame, tolerance: float) -> DataFrame:
     """(id, run): most consecutive steps smaller than `tolerance` deviations."""
-    step = series.select("id", "t", (F.abs(F.col("v") - F.lag("v").over(IN_ORDER)) < tolerance * _sd(F.stddev_pop("v").over(BY_ID))).alias("flat"))
-    run = step.select("id", F.coalesce("flat", F.lit(False)).alias("flat"), F.sum(F.when(F.col("flat"), 0).otherwise(1)).over(IN_ORDER).alias("g"))
+    step = series.select("id", "t", (F.abs(F.col("v") - F.lag("v").over(in_order())) < tolerance * _sd(F.stddev_pop("v").over(by_id()))).alias("flat"))
+    run = step.select("id", F.coalesce("flat", F.lit(False)).alias("flat"), F.sum(F.when(F.col("flat"), 0).otherwise(1)).over(in_order()).alias("g"))
     return run.groupBy("id", "g").agg(F.sum(F.col("flat").cast("long")).alias("run")).groupBy("id").agg(F.max("run").alias("run"))
 
 
@@ -213,26 +218,26 @@ def ma_filter(series: DataFrame, theta: list[float]) -> DataFrame:
     """x[t] + sum theta[k] x[t-k]; missing lags are 0."""
     value = F.col("v")
     for k, th in enumerate(theta, 1):
-        value = value + th * F.coalesce(F.lag("v", k).over(IN_ORDER), F.lit(0.0))
+        value = value + th * F.coalesce(F.lag("v", k).over(in_order()), F.lit(0.0))
     return series.select("id", "t", value.alias("v"))
 
 
 def lag_products(series: DataFrame, c: float) -> DataFrame:
     """Bilinear and quadratic lag forms: v + c v[-1] v[-2], and v + 0.5 v[-1] + 0.25 v[-2] + c v[-1]^2 - c v[-1] v[-2]."""
-    a, b = (F.coalesce(F.lag("v", k).over(IN_ORDER), F.lit(0.0)) for k in (1, 2))
+    a, b = (F.coalesce(F.lag("v", k).over(in_order()), F.lit(0.0)) for k in (1, 2))
     v = F.col("v")
     return series.select("id", "t", (v + c * a * b).alias("bilinear"), (v + 0.5 * a + 0.25 * b + c * a * a - c * a * b).alias("volterra"))
 
 
 def phase_portrait(series: DataFrame, lag: int) -> DataFrame:
     """(id, t, x, y): values and what follows them after `lag` samples."""
-    return series.select("id", "t", F.col("v").alias("x"), F.lead("v", lag).over(IN_ORDER).alias("y")).filter("y IS NOT NULL")
+    return series.select("id", "t", F.col("v").alias("x"), F.lead("v", lag).over(in_order()).alias("y")).filter("y IS NOT NULL")
 
 
 def rank_remap(series: DataFrame, target: DataFrame) -> DataFrame:
     """(id, t, v): the value's average rank looked up, with linear interpolation, among the sorted target values (v) of all ids."""
-    n = F.count("*").over(BY_ID)
-    rank = F.rank().over(BY_ID.orderBy("v")) + (F.count("*").over(Window.partitionBy("id", "v")) - 1) / 2
+    n = F.count("*").over(by_id())
+    rank = F.rank().over(by_id().orderBy("v")) + (F.count("*").over(Window.partitionBy("id", "v")) - 1) / 2
     ranked = series.select("id", "t", F.when(n > 1, (rank - 1) / (n - 1)).otherwise(0.0).alias("q"))
     sorted_target = target.agg(F.sort_array(F.collect_list("v")).alias("goal"))  # one distribution, a parameter of the operator
     at = F.col("q") * (F.size("goal") - 1)
@@ -244,14 +249,14 @@ def rank_remap(series: DataFrame, target: DataFrame) -> DataFrame:
 def zoh_fill(series: DataFrame, missing: Column) -> DataFrame:
     """Missing samples take the last one there (the next one before the first)."""
     there = F.when(~missing, F.col("v"))
-    last = F.last(there, ignorenulls=True).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(there, ignorenulls=True).over(IN_ORDER.rowsBetween(0, Window.unboundedFollowing))
+    last = F.last(there, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first(there, ignorenulls=True).over(in_order().rowsBetween(0, Window.unboundedFollowing))
     return series.select("id", "t", F.coalesce(last, first).alias("v"))
 
 
 def linear_fill(series: DataFrame, missing: Column) -> DataFrame:
     """Missing samples lie on the line between their neighbours; ends take the nearest one."""
-    back, ahead = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0), IN_ORDER.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = in_order().rowsBetween(Window.unboundedPreceding, 0), in_order().rowsBetween(0, Window.unboundedFollowing)
     there = F.when(~missing, F.struct("t", "v"))
     both = series.select("id", "t", F.last(there, ignorenulls=True).over(back).alias("p"), F.first(there, ignorenulls=True).over(ahead).alias("n"))
     p, n = F.col("p.v"), F.col("n.v")
@@ -298,16 +303,16 @@ def kernel_rate(binned: DataFrame, sigma: float, reach: int) -> DataFrame:
 
 def ks_uniform(series: DataFrame) -> DataFrame:
     """(id, d): largest gap between the empirical distribution and the uniform one on the series' own range."""
-    lo, hi = F.min("v").over(BY_ID), F.max("v").over(BY_ID)
-    n = F.count("*").over(BY_ID)
-    i = F.row_number().over(BY_ID.orderBy("v", "t"))
+    lo, hi = F.min("v").over(by_id()), F.max("v").over(by_id())
+    n = F.count("*").over(by_id())
+    i = F.row_number().over(by_id().orderBy("v", "t"))
     p = F.when(hi > lo, (F.col("v") - lo) / (hi - lo)).otherwise(0.0)
     return series.select("id", F.greatest(i / n - p, p - (i - 1) / n).alias("d")).groupBy("id").agg(F.max("d").alias("d"))
 
 
 def ks_halves(series: DataFrame) -> DataFrame:
     """(id, d): two-sample distance between the first and the second half of each series."""
-    n = F.count("*").over(BY_ID)
+    n = F.count("*").over(by_id())
     side = series.select("id", "v", (F.col("t") < F.floor(n / 2)).alias("first"))
     up_to = Window.partitionBy("id").orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
     one, two = F.col("first").cast("int"), (~F.col("first")).cast("int")
@@ -317,11 +322,11 @@ def ks_halves(series: DataFrame) -> DataFrame:
 
 def reversibility(series: DataFrame, lags: list[int]) -> DataFrame:
     """(id, lag, trev, trev2, bic): third moments of rank differences, of the squared ranks' too, and the bicovariance; ties by time."""
-    n = F.count("*").over(BY_ID)
-    u = (F.row_number().over(BY_ID.orderBy("v", "t")) - 0.5) / n - 0.5
+    n = F.count("*").over(by_id())
+    u = (F.row_number().over(by_id().orderBy("v", "t")) - 0.5) / n - 0.5
     ranked = series.select("id", "t", (u * math.sqrt(12)).alias("x"), (u * u).alias("q"))
-    ranked = ranked.select("id", "t", "x", ((F.col("q") - F.avg("q").over(BY_ID)) / (F.stddev_pop("q").over(BY_ID) + 1e-300)).alias("y"))
-    ahead = ranked.select("id", "x", "y", F.array(*(F.struct(F.lit(k).cast("long").alias("lag"), F.lead("x", k).over(IN_ORDER).alias("x"), F.lead("y", k).over(IN_ORDER).alias("y")) for k in lags)).alias("a"))
+    ranked = ranked.select("id", "t", "x", ((F.col("q") - F.avg("q").over(by_id())) / (F.stddev_pop("q").over(by_id()) + 1e-300)).alias("y"))
+    ahead = ranked.select("id", "x", "y", F.array(*(F.struct(F.lit(k).cast("long").alias("lag"), F.lead("x", k).over(in_order()).alias("x"), F.lead("y", k).over(in_order()).alias("y")) for k in lags)).alias("a"))
     pairs = ahead.select("id", "x", "y", F.explode("a").alias("a")).filter("a.x IS NOT NULL")
     dx, dy, x, z = F.col("a.x") - F.col("x"), F.col("a.y") - F.col("y"), F.col("x"), F.col("a.x")
     trev = lambda d: F.avg(d * d * d) / (F.pow(F.avg(d * d), F.lit(1.5)) + 1e-300)
