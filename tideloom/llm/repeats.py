@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.llm.common import shared_dir, small_batches, stored, table
-from tideloom.llm.textarrays import Texts, mix, slices
+from tideloom.llm.textarrays import Texts, mix, run_hash, slices
 from tideloom.llm.wordtable import ragged
 
 WIDTH, GRAM = 50, 12
@@ -38,8 +38,6 @@ def fingerprints(texts: Texts, hashes: np.ndarray, width: int, gram: int) -> tup
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(n - gram + 1)
-    from tideloom.llm.textarrays import run_hash
-
     low = run_hash(hashes, at, at + gram)
     span, have = width - gram + 1, 1
     while have < span:
@@ -53,8 +51,6 @@ def fingerprints(texts: Texts, hashes: np.ndarray, width: int, gram: int) -> tup
 
 def window_keys(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of the windows' words."""
-    from tideloom.llm.textarrays import run_hash
-
     return run_hash(hashes, at, at + width, _BASES[0]), run_hash(mix(hashes + np.uint64(0x51ED270B)), at, at + width, _BASES[1])
 
 
@@ -165,7 +161,7 @@ class FingerprintLog:
 
 
 def _kept(part: pa.RecordBatch, width: int, with_text: bool) -> dict[str, pa.Array]:
-    """Word counts, digest and text of what is left of each row after its `ats` windows are removed."""
+    """Word counts, digest and text of what is left of each row after its `ats` windows, or those of a copy, are removed."""
     texts = Texts(part.column("text"))
     ats = part.column("ats")
     size = np.diff(ats.offsets.to_numpy())
@@ -175,6 +171,8 @@ def _kept(part: pa.RecordBatch, width: int, with_text: bool) -> dict[str, pa.Arr
     np.add.at(step, at, 1)
     np.add.at(step, at + width, -1)
     gone = np.cumsum(step)[:-1] > 0
+    whole = part.column("copy").to_numpy(zero_copy_only=False) & (texts.counts >= width)
+    gone |= whole[texts.doc]
     left = np.flatnonzero(~gone)
     n = texts.ends[left] - texts.starts[left] + 1
     spaced = np.r_[texts.buf, np.uint8(32)][ragged(texts.starts[left], n)]
@@ -219,7 +217,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
     # the document store: rows numbered, bucketed by number, other columns in a struct so that no name clashes
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").alias("owner"), "text", F.struct(*rest, F.lit(0).alias("_")).alias("other"))
     store = log.bucketed(numbered, "row_id")
-    ids = store.filter("owner IS NOT NULL")
+    # whole copies of a text with a smaller doc_id are repeats throughout, and repeat nothing that it does not
+    sums = stored(store.filter("owner IS NOT NULL").select("row_id", "owner", F.sha2("text", 256).alias("sum")))
+    first = sums.groupBy("sum").agg(F.min("owner").alias("first"))
+    copies = stored(sums.join(first.hint("merge"), "sum").filter("first < owner").select("row_id", F.lit(True).alias("copy")))
+    ids = store.filter("owner IS NOT NULL").join(copies.hint("merge"), "row_id", "left_anti")
     cuts = ids.approxQuantile("owner", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     bounds = [None, *sorted({int(c) for c in cuts}), None]
     found: DataFrame | None = None
@@ -232,7 +234,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
         new = log.add(batch)
         found = new if found is None else found.unionByName(new)
     ats = found.groupBy("row_id").agg(F.collect_list("at").alias("ats"))
-    joined = store.join(ats.hint("merge"), "row_id", "left").select("owner", "text", "other", F.coalesce("ats", F.array().cast("array<int>")).alias("ats"))
+    joined = store.join(ats.hint("merge"), "row_id", "left").join(copies.hint("merge"), "row_id", "left").select("owner", "text", "other", F.coalesce("ats", F.array().cast("array<int>")).alias("ats"), F.coalesce("copy", F.lit(False)).alias("copy"))
     schema = "owner long, other " + joined.schema["other"].dataType.simpleString() + ", n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
