@@ -11,7 +11,8 @@ from tideloom.llm.common import stored
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Points the larger (large) or smaller neighbours of each node at the smallest node near it."""
     near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # stored, so that both sides of the join have their own shuffle and a hub's edges can be split
+    least = stored(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     joined = near.join(least.hint("merge"), "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -30,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
     while True:
-        edges = stored(_stars(_stars(edges, True), False))
+        edges = stored(_stars(stored(_stars(edges, True)), False))
         state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == last:
             break

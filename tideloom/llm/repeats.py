@@ -149,7 +149,8 @@ class FingerprintLog:
         for more in hits[1:]:
             windows = windows.unionByName(more)
         windows = stored(windows)
-        first = windows.groupBy("w1", "w2").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low < high")
+        # stored, so that both sides of the join have their own shuffle and a hot window can be split
+        first = stored(windows.groupBy("w1", "w2").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low < high"))
         # older rows cannot be repeats of newer ones; their own repeats were found with their batch
         least = docs.agg(F.min("owner")).first()[0]
         mine = windows if len(hits) == 1 or least is None else windows.filter(F.col("owner") >= least)
@@ -219,7 +220,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
     store = log.bucketed(numbered, "row_id")
     # whole copies of a text with a smaller doc_id are repeats throughout, and repeat nothing that it does not
     sums = stored(store.filter("owner IS NOT NULL").select("row_id", "owner", F.sha2("text", 256).alias("sum")))
-    first = sums.groupBy("sum").agg(F.min("owner").alias("first"))
+    first = stored(sums.groupBy("sum").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).filter("first < last").drop("last"))
     copies = stored(sums.join(first.hint("merge"), "sum").filter("first < owner").select("row_id", F.lit(True).alias("copy")))
     ids = store.filter("owner IS NOT NULL").join(copies.hint("merge"), "row_id", "left_anti")
     cuts = ids.approxQuantile("owner", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
