@@ -84,6 +84,44 @@ def test_fertility(spark, rows):
     assert run(make(spark, rows).limit(0)).count() == 0
 
 
+def test_evenness_is_free_of_length(spark):
+    from tideloom.llm.fertility import EVENNESS_WINDOW, fertility_rules
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    stem = [a + b for a in "rain stone river hill green cloud bird quiet old light house water field winter".split() for b in ("", "s", "ing", ",", ".", "ly", "er", " the", " of")]
+    text = lambda n: " ".join(" ".join(rng.choices(stem, k=n)).split()[:n])
+    made = [(n, text(n)) for n in (300, 2000, 20_000, 200_000)] + [(7, "rain hill " * 40_000)]
+    out = {r.doc_id: r for r in fertility_rules(make(spark, made), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.tiktoken")).collect()}
+    for i, t in made:
+        ids = [x for w in WORD.findall(t) for x in model.encode(w)]
+        k = -(-len(ids) // EVENNESS_WINDOW)
+        parts = [np.array(ids)[np.arange(len(ids)) * k // len(ids) == w] for w in range(k)]
+        shares = [np.unique(p, return_counts=True)[1] / len(p) for p in parts]
+        assert np.isclose(out[i].evenness, np.mean([-(s * np.log2(s)).sum() / np.log2(len(p)) for s, p in zip(shares, parts)]))
+    for n in (20_000, 200_000):
+        assert out[n].evenness >= 0.45 and "evenness" not in out[n].failed_bands
+        assert abs(out[n].evenness - out[2000].evenness) < 0.02
+    assert "evenness" in out[7].failed_bands  # monotony is still found
+
+
+def test_long_clean_texts_are_kept(spark):
+    """Documents of the tables strung together, those that the rules keep, stay kept at any length."""
+    from tideloom.llm.fertility import fertility_rules
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang = 'en'").select("doc_id", "text", "lang")
+    run = lambda df: fertility_rules(df, vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.tiktoken"))
+    clean = run(docs).filter("kept AND n_repeat_words < 0.05 * n_words AND n_symbols < 0.05 * n_words").select("doc_id").distinct()
+    words = " ".join(r.text for r in docs.join(clean, "doc_id").dropDuplicates(["text"]).orderBy("doc_id").select("text").collect()).split()
+    assert len(words) >= 200_000
+    rows = [(n, " ".join(words[:n]), "en") for n in (20_000, 200_000)]
+    out = {r.doc_id: r for r in run(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {n: r.failed_bands for n, r in out.items()} == {20_000: [], 200_000: []}
+    assert all(r.kept for r in out.values()), [(r.n_words, r.n_repeat_words) for r in out.values()]
+
+
 def brute_classes(rows, threshold=0.8):
     first, sets, root = {}, {}, {}
 

@@ -29,7 +29,8 @@ SCRIPTS = [*SCRIPT_LEADS, "other"]
 #: metric -> (least, most); a text outside any band of its language, else of its script, is rejected.
 Bands = Mapping[str, Mapping[str, tuple[float, float]]]
 #: Characters per token of the piece and of the byte vocabulary, share of byte-fallback
-#: tokens, and token entropy relative to the most that as many tokens can have.
+#: tokens, and evenness: token entropy relative to the most that as many tokens can have,
+#: averaged over windows of at most EVENNESS_WINDOW tokens that cover the whole text.
 DEFAULT_BANDS: Bands = {
     "en": {"piece_chars": (1.92, 6.0), "byte_chars": (1.95, 6.5), "byte_share": (0.0, 0.05), "evenness": (0.45, 1.0)},
     "de": {"piece_chars": (2.02, 6.0), "byte_chars": (1.84, 6.5), "byte_share": (0.0, 0.05), "evenness": (0.45, 1.0)},
@@ -47,6 +48,8 @@ DEFAULT_BANDS: Bands = {
     "other": {"piece_chars": (0.2, 8.0), "byte_chars": (0.2, 8.0), "byte_share": (0.0, 0.95), "evenness": (0.2, 1.0)},
 }
 METRICS = ("piece_chars", "byte_chars", "byte_share", "evenness")
+#: Prose's entropy levels off while log2 of the tokens keeps growing, so over a whole text evenness would fall with length alone.
+EVENNESS_WINDOW = 1024
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean,"
@@ -100,6 +103,31 @@ def base_counts(texts: Texts, hashes: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _entropies(group: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Entropy in bits of the values of each group; size: its rows."""
+    first, count, _ = _group_counts(group, value)
+    owner = group[first]
+    p = count / np.maximum(size[owner], 1)
+    return np.bincount(owner, -p * np.log2(p), minlength=len(size))
+
+
+def _evenness(doc: np.ndarray, ids: np.ndarray, n: np.ndarray, entropy: np.ndarray) -> np.ndarray:
+    """Evenness of each text; longer ones than a window are cut into equal windows. 1 for one token, NaN for none."""
+    out = np.where(n > 0, entropy / np.log2(np.maximum(n, 2)), np.nan)
+    out[n == 1] = 1.0
+    many = np.where(n > EVENNESS_WINDOW, -(-n // EVENNESS_WINDOW), 0)
+    if not many.any():
+        return out
+    at = np.flatnonzero(many[doc])
+    own = doc[at]
+    start = np.cumsum(n) - n
+    window = (np.cumsum(many) - many)[own] + (at - start[own]) * many[own] // n[own]
+    size = np.bincount(window, minlength=many.sum())
+    even = _entropies(window, ids[at], size) / np.log2(size)
+    total = np.bincount(np.repeat(np.arange(len(n)), many), even, minlength=len(n))
+    return np.where(many > 0, total / np.maximum(many, 1), out)
+
+
 def token_metrics(texts: Texts, hashes: np.ndarray, piece_path: str, byte_path: str) -> dict[str, np.ndarray]:
     """Fertility of each text under both vocabularies; every word is encoded on its own. NaN for texts without words."""
     pieces, ranks = word_table(piece_path), word_table(byte_path)
@@ -109,10 +137,7 @@ def token_metrics(texts: Texts, hashes: np.ndarray, piece_path: str, byte_path:
     doc = np.repeat(texts.doc, count)
     n = texts.per_text(doc)
     fallback = texts.per_text(doc[(ids >= 3) & (ids < 259)])  # the 256 byte pieces follow the three control pieces
-    first, size, _ = _group_counts(doc, ids)
-    owner = doc[first]
-    p = size / np.maximum(n[owner], 1)
-    entropy = texts.per_text(owner, -p * np.log2(p))
+    entropy = _entropies(doc, ids, n)
     _, byte_count = ranks.lookup(texts, hashes)
     with np.errstate(divide="ignore", invalid="ignore"):
         return {
@@ -120,7 +145,7 @@ def token_metrics(texts: Texts, hashes: np.ndarray, piece_path: str, byte_path:
             "byte_chars": chars / texts.per_text(texts.doc, byte_count),
             "byte_share": fallback / n,
             "token_entropy": np.where(n > 0, entropy, np.nan),
-            "evenness": np.where(n > 1, entropy / np.log2(np.maximum(n, 2)), np.where(n > 0, 1.0, np.nan)),
+            "evenness": _evenness(doc, ids, n, entropy),
         }
 
 
