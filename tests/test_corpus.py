@@ -17,6 +17,17 @@ def test_quotas():
     assert sum(g.quota["stationary1000"] for g in known.values()) == 1000 - 171
 
 
+def test_registered_corpus_is_whole(spark, sf):
+    from tideloom.plans.catalogue import QUERIES
+
+    made = QUERIES["generated_corpus"](spark, sf).collect()
+    slots = [(g.cls, g.key, i) for g in registry.load().values() for i in range(g.quota["full"])]
+    assert sorted(r.id for r in made) == sorted(f"TL_{c}_{k}_{i:03d}" for c, k, i in slots)
+    assert all(r.error is None for r in made)
+    chosen = tables.selection(spark, "full").filter("family = 'ou' AND index IN (0, 7)")
+    assert {r.id: r.sha256 for r in tables.generate(chosen, 1000).select("id", "sha256").collect()}.items() <= {r.id: r.sha256 for r in made}.items()
+
+
 @pytest.mark.parametrize("cls", list(registry.CLASSES))
 def test_every_generator_runs(cls):
     for name, g in registry.load().items():
