@@ -88,3 +88,15 @@ def test_burstiness_needs_three_gaps(spark):
 
 def test_longest_flat(spark):
     assert got(S.longest_flat(long(spark, a=[0, 1, 1, 1, 2, 2, 5]), 1e-6))["a"].run == 2
+
+
+def test_every_event_is_counted(spark, sf):
+    from tideloom.plans.catalogue import QUERIES
+
+    binned = QUERIES["bin_events_all"](spark, sf)
+    counts = {r.user_id: r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect()}
+    assert {r.id: r.n for r in binned.groupBy("id").agg(F.sum("n").alias("n")).collect()} == counts
+    assert {r["count"] for r in binned.groupBy("id").count().collect()} == {30}
+    late = S.bin_events(spark.createDataFrame([(1, 0.5), (2, 99.5), (2, 30.0)], "id long, at double"), 10.0)
+    assert sorted((r.id, r.bin) for r in late.filter("n = 1").collect()) == [(1, 0), (2, 3), (2, 9)] and late.count() == 20
+    assert QUERIES["kernel_rate_all"](spark, sf).filter("bin = 29 AND rate > 0").count() > 0

@@ -279,10 +279,15 @@ def burstiness(events: DataFrame) -> DataFrame:
     return stats.select("id", F.when((F.col("n") >= 3) & (F.col("m") + F.col("s") > 0), (F.col("s") - F.col("m")) / (F.col("s") + F.col("m"))).alias("b"))
 
 
-def bin_events(events: DataFrame, width: float, bins: int) -> DataFrame:
-    """(id, bin, n): events per bin in [0, bins), empty bins as 0."""
-    counts = events.select("id", F.floor(F.col("at") / width).cast("long").alias("bin")).filter(F.col("bin").between(0, bins - 1)).groupBy("id", "bin").agg(F.count("*").alias("n"))
-    grid = events.select("id").distinct().select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+def bin_events(events: DataFrame, width: float, bins: int | None = None) -> DataFrame:
+    """(id, bin, n): events per bin in [0, bins), empty bins as 0; without `bins`, up to the bin of the latest event of all."""
+    at = events.select("id", F.floor(F.col("at") / width).cast("long").alias("bin"))
+    counts = at.filter("bin >= 0" if bins is None else F.col("bin").between(0, bins - 1)).groupBy("id", "bin").agg(F.count("*").alias("n"))
+    ids = events.select("id").distinct()
+    last = F.lit(0 if bins is None else bins - 1).cast("long")
+    if bins is None:
+        ids, last = ids.join(F.broadcast(at.agg(F.greatest(F.max("bin"), last).alias("last"))), how="cross"), F.col("last")
+    grid = ids.select("id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bin"))
     return grid.join(counts, ["id", "bin"], "left").select("id", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -298,10 +298,10 @@ def _(spark, d):
 BINS = "f AS (SELECT id, tm - min(tm) OVER () AS tm FROM e), b AS (SELECT id, CAST(floor(tm / 24) AS BIGINT) AS bin, count(*) AS n FROM f WHERE tm < 480 GROUP BY 1, 2), gr AS (SELECT id, unnest(range(0, 20)) AS bin FROM (SELECT DISTINCT id FROM e)), bn AS (SELECT gr.id, gr.bin, CAST(coalesce(n, 0) AS BIGINT) AS n FROM gr LEFT JOIN b ON b.id = gr.id AND b.bin = gr.bin)"
 
 
-def _binned(spark: SparkSession, d: str) -> DataFrame:
+def _binned(spark: SparkSession, d: str, bins: int | None = 20) -> DataFrame:
     events = _events(spark, d)
     start = events.agg(F.min("at").alias("start"))
-    return S.bin_events(events.join(F.broadcast(start), how="cross").select("id", (F.col("at") - F.col("start")).alias("at")), 24.0, 20)
+    return S.bin_events(events.join(F.broadcast(start), how="cross").select("id", (F.col("at") - F.col("start")).alias("at")), 24.0, bins)
 
 
 @query("bin_events", f"WITH {EV}, {BINS} SELECT id, bin, n FROM bn")
@@ -317,6 +317,20 @@ def _(spark, d):
     return S.kernel_rate(_binned(spark, d), 1.5, 3)
 
 
+BINS_ALL = "f AS (SELECT id, CAST(floor((tm - min(tm) OVER ()) / 24) AS BIGINT) AS bin FROM e), b AS (SELECT id, bin, count(*) AS n FROM f GROUP BY 1, 2), gr AS (SELECT id, unnest(range(0, top + 1)) AS bin FROM (SELECT DISTINCT id FROM e), (SELECT max(bin) AS top FROM f)), bn AS (SELECT gr.id, gr.bin, CAST(coalesce(n, 0) AS BIGINT) AS n FROM gr LEFT JOIN b ON b.id = gr.id AND b.bin = gr.bin)"
+
+
+@query("bin_events_all", f"WITH {EV}, {BINS_ALL} SELECT id, bin, n FROM bn")
+def _(spark, d):
+    """The events of all days; bin_events has the first 20."""
+    return _binned(spark, d, None)
+
+
+@query("kernel_rate_all", f"WITH {EV}, {BINS_ALL} SELECT id, bin, " + r(" + ".join(f"{w / sum(_W.values())!r}::DOUBLE * coalesce({'lead' if k >= 0 else 'lag'}(n, {abs(k)}) OVER (PARTITION BY id ORDER BY bin), 0)" for k, w in _W.items()), "rate") + " FROM bn")
+def _(spark, d):
+    return S.kernel_rate(_binned(spark, d, None), 1.5, 3)
+
+
 # ---- distributions ----------------------------------------------------------------------------------------
 
 
