@@ -102,3 +102,16 @@ def test_stream(spark, sf, tmp_path):
     run.awaitTermination(60)
     table = windowed_stats(spark.read.parquet(str(tmp_path / "in")))
     assert spark.table("monitor").count() == table.count()
+
+
+def test_audit_length_finds_slow_series(spark):
+    slow = np.sin(2 * np.pi * np.arange(1000) / 1000)
+    rows = [("slow", t, float(v)) for t, v in enumerate(slow)] + [("flat", t, 1.0) for t in range(1000)] + [("fast", t, float(t * 7919 % 1000)) for t in range(1000)]
+    series = spark.createDataFrame(rows, "id string, t long, v double")
+    meta = spark.createDataFrame([(i, i) for i in ("slow", "flat", "fast")], "id string, family string")
+    out = {r.family: r for r in corpus.audit_length(series, meta).collect()}
+    z = slow - slow.mean()
+    tau = next(k for k in range(1, 500) if z[:-k] @ z[k:] / (z @ z) < np.exp(-1))
+    assert tau > 50 and out["slow"].tau_max == tau and out["slow"].spans_min == 1000 / tau < 20
+    assert out["flat"].tau_max == np.inf and out["flat"].spans_min == 0
+    assert out["fast"].spans_min > 20

@@ -125,10 +125,24 @@ def audit_quantiles(series: DataFrame, at: Sequence[float] = (0.5, 0.9, 0.95, 0.
     return long.select("x.statistic", F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("x.v").alias("value"))).alias("y")).select("statistic", F.col("y.q").alias("q"), F.col("y.value").alias("value"))
 
 
-def audit_length(series: DataFrame, meta: DataFrame, most_lag: int = 40) -> DataFrame:
-    """(family, n, tau_med, tau_max, spans_min, events_min, distinct_min): length in correlation times, events and distinct values by family."""
+def audit_length(series: DataFrame, meta: DataFrame, most_lag: int = 500) -> DataFrame:
+    """(family, series, tau_med, tau_max, spans_min, events_min, distinct_min): length in correlation times, events and distinct values by family.
+
+    Series without variance have an infinite correlation time and span none; spans_min under 20 marks a family as too short.
+    """
+    flat = series.groupBy("id").agg((F.min("v") == F.max("v")).alias("flat"))
+    tau = S.acf_time(series, most_lag).join(flat, "id").select("id", F.when(F.col("flat"), float("inf")).otherwise(F.col("tau")).alias("tau"))
+    return _lengths(series, meta, tau)
+
+
+def audit_length_browser(series: DataFrame, meta: DataFrame, most_lag: int = 40) -> DataFrame:
+    """audit_length with the browser's correlation time, at most `most_lag`, also for series without variance."""
+    return _lengths(series, meta, S.acf_time(series, most_lag))
+
+
+def _lengths(series: DataFrame, meta: DataFrame, tau: DataFrame) -> DataFrame:
     size = series.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("v").alias("k"))
-    all_ = size.join(S.acf_time(series, most_lag), "id").join(S.excursions(series), "id").join(meta, "id")
+    all_ = size.join(tau, "id").join(S.excursions(series), "id").join(meta, "id")
     return all_.groupBy("family").agg(
         F.count("*").alias("series"), F.percentile("tau", 0.5).alias("tau_med"), F.max("tau").alias("tau_max"), F.min(F.col("n") / F.col("tau")).alias("spans_min"), F.min("n_events").alias("events_min"), F.min("k").alias("distinct_min")
     )

@@ -87,7 +87,10 @@ def acf(series: DataFrame, lags: int) -> DataFrame:
 
 
 def acf_time(series: DataFrame, most: int = 40) -> DataFrame:
-    """(id, tau): the first lag below `most` with autocorrelation under 1/e, else `most`."""
+    """(id, tau): the first lag below `most` with autocorrelation under 1/e, else `most`.
+
+    40 is the browser's limit; the audit of lengths searches 500 lags.
+    """
     first = acf(series, most - 1).groupBy("id").agg(F.min(F.when(F.col("r") < math.exp(-1), F.col("k"))).alias("k"))
     flat = series.groupBy("id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     return flat.join(first, "id", "left").select("id", F.when(F.col("lo") == F.col("hi"), most).otherwise(F.coalesce("k", F.lit(most))).cast("long").alias("tau"))

@@ -373,6 +373,21 @@ def _(spark, d):
 @query("audit_length", f"""WITH {SER}, {META}, {TAU}, {_excursions(4.0)}, k AS (SELECT id, count(*) AS n, count(DISTINCT v) AS k FROM s GROUP BY id)
  SELECT family, count(*) AS series, {r('quantile_cont(tau::DOUBLE, 0.5)', 'tau_med')}, max(tau) AS tau_max, {r('min(n / tau)', 'spans_min')}, min(n_events) AS events_min, min(k) AS distinct_min FROM k JOIN tau USING (id) JOIN ex USING (id) JOIN meta USING (id) GROUP BY family""")
 def _(spark, d):
+    return corpus.audit_length_browser(series_user(spark, d), series_meta(spark, d))
+
+
+TAU_500 = ACF.format(k=499) + ", tau AS (SELECT x.id, CASE WHEN x.lo = x.hi THEN 'infinity'::DOUBLE ELSE coalesce(y.k, 500)::DOUBLE END AS tau FROM (SELECT id, min(v) AS lo, max(v) AS hi FROM s GROUP BY id) x LEFT JOIN (SELECT id, min(k) AS k FROM acf WHERE r < exp(-1) GROUP BY id) y USING (id))"
+
+
+@query("acf_time_500", f"WITH {SER}, {ACF.format(k=499)} SELECT x.id, CAST(CASE WHEN x.lo = x.hi THEN 500 ELSE coalesce(y.k, 500) END AS BIGINT) AS tau FROM (SELECT id, min(v) AS lo, max(v) AS hi FROM s GROUP BY id) x LEFT JOIN (SELECT id, min(k) AS k FROM acf WHERE r < exp(-1) GROUP BY id) y USING (id)")
+def _(spark, d):
+    return S.acf_time(series_user(spark, d), 500)
+
+
+@query("audit_length_500", f"""WITH {SER}, {META}, {TAU_500}, {_excursions(4.0)}, k AS (SELECT id, count(*) AS n, count(DISTINCT v) AS k FROM s GROUP BY id)
+ SELECT family, count(*) AS series, {r('quantile_cont(tau, 0.5)', 'tau_med')}, {r('max(tau)', 'tau_max')}, {r('min(n / tau)', 'spans_min')}, min(n_events) AS events_min, min(k) AS distinct_min FROM k JOIN tau USING (id) JOIN ex USING (id) JOIN meta USING (id) GROUP BY family""")
+def _(spark, d):
+    """The audit with the audit's 500 lags; audit_length has the browser's 40."""
     return corpus.audit_length(series_user(spark, d), series_meta(spark, d))
 
 
