@@ -115,3 +115,38 @@ def test_audit_length_finds_slow_series(spark):
     assert tau > 50 and out["slow"].tau_max == tau and out["slow"].spans_min == 1000 / tau < 20
     assert out["flat"].tau_max == np.inf and out["flat"].spans_min == 0
     assert out["fast"].spans_min > 20
+
+
+def test_screen_has_all_issues(spark):
+    rng = np.random.default_rng(2)
+    t = np.arange(1000)
+    noise = rng.standard_normal(1000)
+    jump = 0.05 * noise
+    jump[500] += 40
+    x = {
+        "noise": noise, "sine": np.sin(2 * np.pi * t / 20), "slow": np.sin(2 * np.pi * t / 50) + 0.5 * noise, "repeats": np.sin(2 * np.pi * t / 25) + 0.8 * np.sin(2 * np.pi * t / 12.5) + 0.01 * noise,
+        "jump": jump, "hundred": np.floor(100 * rng.random(1000)), "events": np.where(np.isin(t % 100, [50]), 30.0, 0.0) + 0.1 * rng.random(1000), "head": np.where(t < 30, 0.0, noise), "same": noise + 0.001 * rng.standard_normal(1000),
+    }
+    series = spark.createDataFrame([(i, int(k), float(v)) for i, s in x.items() for k, v in enumerate(s)], "id string, t long, v double")
+    flag = lambda c: "yes" if c else "no"
+    meta = spark.createDataFrame([(i, "A", "one" if i in ("noise", "same", "sine", "jump") else i, flag(i == "events"), "no", flag(i == "jump")) for i in x], "id string, cls string, family string, event_like string, bursty string, continuous_time string")
+    f = {"noise": [0.0, 0.0], "same": [0.001, 0.0], "sine": [1.0, 1.0], "jump": [2.0, -1.0]}
+    profiles = spark.createDataFrame([(i, f.get(i, [3.0, 3.0])) for i in x], "id string, f array<double>")
+    out = {r.id: {k for k, v in r.asDict().items() if v is True} for r in corpus.screen(series, meta, profiles).collect()}
+    assert out["noise"] == {"duplicate"} == out["same"]
+    assert out["sine"] >= {"periodic", "sinusoid"} and "sinusoid" not in out["repeats"] and "periodic" in out["repeats"]
+    assert "slow" in out["slow"] and "jumps" in out["jump"] and "onset" in out["head"]
+    assert "levels" in out["hundred"] and "few_events" in out["events"]
+    assert all("duplicate" not in v for k, v in out.items() if k not in ("noise", "same"))
+    one = corpus.screen(series, meta, levels=50, few_events=5).filter("id IN ('hundred', 'events', 'noise')").collect()
+    assert not any(r.duplicate or (r.id == "hundred" and r.levels) or r.few_events for r in one)
+
+
+def test_screen_full_query(spark, sf):
+    from tideloom.plans.catalogue import QUERIES
+
+    full, short = QUERIES["screen_full"](spark, sf), QUERIES["screen"](spark, sf)
+    assert len(full.columns) == 2 + 12 + 1 and full.count() == short.count()
+    worse = full.alias("f").join(short.alias("s"), "id").filter("f.n_issues < s.n_issues").count()
+    assert worse == 0
+    assert QUERIES["screen_full_summary"](spark, sf).agg({"series": "sum"}).collect()[0][0] == short.count()

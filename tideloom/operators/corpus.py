@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.columns import uniform
 from tideloom.operators import series as S
+from tideloom.operators import similarity
 
 
 def subset(df: DataFrame, where: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -148,12 +149,45 @@ def _lengths(series: DataFrame, meta: DataFrame, tau: DataFrame) -> DataFrame:
     )
 
 
-def screen(series: DataFrame, meta: DataFrame) -> DataFrame:
-    """One row a series: issue flags of a visual screen and their number.
+def screen(series: DataFrame, meta: DataFrame, profiles: DataFrame | None = None, levels: int = 200, few_events: int = 25) -> DataFrame:
+    """One row a series: the twelve issue flags of the reference's screen and their number.
 
-    meta: id, cls, event_like, bursty. Ten windows; head and tail are a twentieth of the series.
+    meta: id, cls, family, event_like, bursty, continuous_time. profiles: id, f, a feature vector a series; without them
+    nothing is a duplicate. Ten windows; head and tail are a twentieth of the series. The defaults, least distinct
+    values and least events, are those for 1000 samples.
     """
-    event = (F.col("event_like") == "yes") | (F.col("bursty") == "yes")
+    out = _screened(series, meta)
+    period = S.dominant_period(series).select("id", F.col("k").alias("periods"), F.rint("period").cast("long").alias("lag"))
+    again = S.acf(series, 299).join(period, "id").filter("k = lag AND lag >= 2").select("id", F.col("r").alias("again"))
+    steps = series.select("id", F.abs(F.col("v") - F.lag("v").over(S.in_order())).alias("d")).groupBy("id").agg(F.max("d").alias("step"), F.percentile("d", 0.99).alias("step99"))
+    head = S.longest_flat(series, 1e-6, 20).withColumnRenamed("run", "head_run")
+    for more in (period, S.spectral_peak(series).drop("peaked"), again, steps, head):
+        out = out.join(more, "id", "left")
+    flags = _eight(levels, few_events)
+    flags["slow"] = flags["slow"] | F.coalesce((F.col("share") > 0.3) & (F.col("periods") < 35), F.lit(False))
+    flags["onset"] = F.coalesce(flags["onset"], F.lit(False)) | F.coalesce(F.col("head_run") > 15, F.lit(False))
+    flags["periodic"] = (F.col("cls") != "H") & (F.col("again") > 0.95)
+    flags["sinusoid"] = F.col("share") > 0.8
+    flags["jumps"] = (F.col("continuous_time") == "yes") & (F.col("step") > 12 * F.greatest("step99", F.lit(1e-12)))
+    if profiles is None:
+        flags["duplicate"] = F.lit(False)
+    else:
+        pairs = similarity.duplicate_pairs(profiles.select("id", "f").join(meta.select("id", F.col("family").alias("grp")), "id"))
+        out = out.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("double", F.lit(True)), "id", "left")
+        flags["duplicate"] = F.col("double")
+    return _counted(out, flags)
+
+
+def screen_short(series: DataFrame, meta: DataFrame) -> DataFrame:
+    """The screen's eight issues that short series can show, with thresholds for under 100 samples: 40 values, 2 events.
+
+    Without periodic, sinusoid, jumps, duplicate, few slow periods and a flat head.
+    """
+    return _counted(_screened(series, meta), _eight(40, 2))
+
+
+def _screened(series: DataFrame, meta: DataFrame) -> DataFrame:
+    """The statistics of both screens. meta: id, cls, event_like, bursty."""
     numbered = series.withColumn("n", F.count("*").over(S.by_id()))
     edge = F.floor(F.col("n") / 20)
     part = F.when(F.col("t") < edge, "head").when(F.col("t") >= F.col("n") - edge, "tail").otherwise("mid")
@@ -162,19 +196,26 @@ def screen(series: DataFrame, meta: DataFrame) -> DataFrame:
         *(f(F.when(part == p, F.col("v"))).alias(f"{p}_{name}") for p in ("head", "mid", "tail") for name, f in (("m", F.avg), ("s", F.stddev_pop)))
     )
     common = series.groupBy("id", "v").agg(F.count("*").alias("c")).groupBy("id").agg(F.max("c").alias("common"))
-    out = ends.join(S.window_stationarity(series, 10).drop("n"), "id").join(S.acf_time(series), "id").join(S.longest_flat(series, 1e-6), "id").join(S.excursions(series, 3.0), "id").join(common, "id").join(meta, "id")
+    return ends.join(S.window_stationarity(series, 10).drop("n"), "id").join(S.acf_time(series), "id").join(S.longest_flat(series, 1e-6), "id").join(S.excursions(series, 3.0), "id").join(common, "id").join(meta, "id")
+
+
+def _eight(levels: int, few_events: int) -> dict[str, Column]:
+    event = (F.col("event_like") == "yes") | (F.col("bursty") == "yes")
     mid = F.when(F.col("mid_s") == 0, 1.0).otherwise(F.col("mid_s"))
     off = lambda p: (F.abs(F.col(f"{p}_m") - F.col("mid_m")) > mid) | ~((F.col(f"{p}_s") / mid > 0.3) & (F.col(f"{p}_s") / mid < 3))
-    flags = {
+    return {
         "slow": F.col("tau") > 6,
         "drift": ~event & ((F.col("sm") > 0.35) | (F.col("ss") > 0.35) | (F.col("vr") > 8)),
         "onset": off("head"),
         "ending": off("tail"),
         "flat": (F.col("run") > 30) & (F.col("common") / F.col("n") <= 0.2),
         "spiky": (F.col("hi") - F.col("lo")) / F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1e-12)) > 3,
-        "levels": (F.col("k") < 40) | (F.col("common") / F.col("n") > 0.4),
-        "few_events": (F.col("event_like") == "yes") & (F.col("n_events") < 2),
+        "levels": (F.col("k") < levels) | (F.col("common") / F.col("n") > 0.4),
+        "few_events": (F.col("event_like") == "yes") & (F.col("n_events") < few_events),
     }
+
+
+def _counted(out: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
     out = out.select("id", "family", *(F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items()))
     return out.withColumn("n_issues", reduce(lambda a, b: a + b, (F.col(k).cast("long") for k in flags)))
 

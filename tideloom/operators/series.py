@@ -210,9 +210,11 @@ def crossings(series: DataFrame) -> DataFrame:
     return sign.select("id", change.alias("c")).groupBy("id").agg(F.sum("c").alias("n_crossings"))
 
 
-def longest_flat(series: DataFrame, tolerance: float) -> DataFrame:
-    """(id, run): most consecutive steps smaller than `tolerance` deviations."""
-    step = series.select("id", "t", (F.abs(F.col("v") - F.lag("v").over(in_order())) < tolerance * _sd(F.stddev_pop("v").over(by_id()))).alias("flat"))
+def longest_flat(series: DataFrame, tolerance: float, head: int | None = None) -> DataFrame:
+    """(id, run): most consecutive steps smaller than `tolerance` deviations; with `head`, in the first 1 / `head` of the series."""
+    step = series.select("id", "t", F.count("*").over(by_id()).alias("n"), (F.abs(F.col("v") - F.lag("v").over(in_order())) < tolerance * _sd(F.stddev_pop("v").over(by_id()))).alias("flat"))
+    if head is not None:
+        step = step.filter(F.col("t") < F.floor(F.col("n") / head))
     run = step.select("id", F.coalesce("flat", F.lit(False)).alias("flat"), F.sum(F.when(F.col("flat"), 0).otherwise(1)).over(in_order()).alias("g"))
     return run.groupBy("id", "g").agg(F.sum(F.col("flat").cast("long")).alias("run")).groupBy("id").agg(F.max("run").alias("run"))
 

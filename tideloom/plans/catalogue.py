@@ -402,12 +402,28 @@ SCREEN = f"""{SER}, {META}, {_windows(10)}, {TAU}, {_flat('1e-6')}, {_excursions
 
 @query("screen", f"WITH {SCREEN} SELECT * FROM scr")
 def _(spark, d):
-    return corpus.screen(series_user(spark, d), series_meta(spark, d))
+    return corpus.screen_short(series_user(spark, d), series_meta(spark, d))
 
 
 @query("screen_summary", f"WITH {SCREEN} SELECT family, count(*) AS series, CAST(sum((n_issues > 0)::INT) AS BIGINT) AS flagged, CAST(sum(n_issues) AS BIGINT) AS issues FROM scr GROUP BY family")
 def _(spark, d):
-    return corpus.screen_summary(corpus.screen(series_user(spark, d), series_meta(spark, d)))
+    return corpus.screen_summary(corpus.screen_short(series_user(spark, d), series_meta(spark, d)))
+
+
+def _screen_full(spark: SparkSession, d: str) -> DataFrame:
+    """All twelve issues; the embeddings stand for the series' profiles."""
+    meta = series_meta(spark, d).withColumn("continuous_time", F.when(F.pmod("id", F.lit(6)) == 0, "yes").otherwise("no"))
+    return corpus.screen(series_user(spark, d), meta, features(spark, d))
+
+
+@query("screen_full", None)
+def _(spark, d):
+    return _screen_full(spark, d)
+
+
+@query("screen_full_summary", None)
+def _(spark, d):
+    return corpus.screen_summary(_screen_full(spark, d))
 
 
 # ---- metadata ---------------------------------------------------------------------------------------------
