@@ -352,6 +352,18 @@ def test_licenses(spark, rows):
     assert scan_licenses(make(spark, rows).limit(0)).count() == 0
 
 
+def test_short_license_names(spark):
+    from tideloom.llm.licenses import scan_licenses
+
+    forms = {
+        "licensed under the GPLv3": "gpl-3.0", "GPLv3 license": "gpl-3.0", "Licensed under LGPLv2.1": "lgpl-2.1", "licensed under the AGPLv3": "agpl-3.0",
+        "licensed under the GPLv2": "gpl-2.0", "licensed under the GPL v3": "gpl-3.0", "licensed under GPL-3.0": "gpl-3.0", "licensed under LGPLv3": "lgpl-3.0",
+    }
+    out = {r["doc_id"]: str(r) for r in collect(scan_licenses(make(spark, list(enumerate(forms)))).drop("text"))}
+    for i, (form, label) in enumerate(forms.items()):
+        assert f"'{label}'" in out[i], (form, out[i])
+
+
 def test_license_suppression(spark):
     """Overlaps against a plain reading of the rule: a match inside another of no lower priority goes."""
     from tideloom.llm.licenses import scan_licenses, signature_rules

@@ -48,22 +48,22 @@ _NAMES = (
     ("bsd-4-clause", "bsd", r"bsdG(?:4|four)Gclause"),
     ("0bsd", "0bsd", r"0bsd"),
     ("bsd", "bsd", r"bsd"),
-    ("gpl-1.0", "gpl", r"(?:gnuG)?gpl(?:G(?:v|version))?G?1(?:G0)?"),
-    ("gpl-2.0", "gpl", r"(?:gnuG)?gpl(?:G(?:v|version))?G?2(?:G0)?"),
-    ("gpl-3.0", "gpl", r"(?:gnuG)?gpl(?:G(?:v|version))?G?3(?:G0)?"),
+    ("gpl-1.0", "gpl", r"(?:gnuG)?gpl(?:G?(?:v|version))?G?1(?:G0)?"),
+    ("gpl-2.0", "gpl", r"(?:gnuG)?gpl(?:G?(?:v|version))?G?2(?:G0)?"),
+    ("gpl-3.0", "gpl", r"(?:gnuG)?gpl(?:G?(?:v|version))?G?3(?:G0)?"),
     ("gpl", "gpl", r"(?:gnuG)?gpl"),
     ("gpl-1.0", "general", r"(?:gnuG)?general public license(?:G(?:v|version))?G?1(?:G0)?"),
     ("gpl-2.0", "general", r"(?:gnuG)?general public license(?:G(?:v|version))?G?2(?:G0)?"),
     ("gpl-3.0", "general", r"(?:gnuG)?general public license(?:G(?:v|version))?G?3(?:G0)?"),
     ("gpl", "general", r"(?:gnuG)?general public"),
-    ("lgpl-2.0", "lgpl", r"(?:gnuG)?lgpl(?:G(?:v|version))?G?2(?:G0)?"),
-    ("lgpl-2.1", "lgpl", r"(?:gnuG)?lgpl(?:G(?:v|version))?G?2G1"),
-    ("lgpl-3.0", "lgpl", r"(?:gnuG)?lgpl(?:G(?:v|version))?G?3(?:G0)?"),
+    ("lgpl-2.0", "lgpl", r"(?:gnuG)?lgpl(?:G?(?:v|version))?G?2(?:G0)?"),
+    ("lgpl-2.1", "lgpl", r"(?:gnuG)?lgpl(?:G?(?:v|version))?G?2G1"),
+    ("lgpl-3.0", "lgpl", r"(?:gnuG)?lgpl(?:G?(?:v|version))?G?3(?:G0)?"),
     ("lgpl", "lgpl", r"(?:gnuG)?lgpl"),
     ("lgpl-2.1", "general", r"(?:gnuG)?(?:lesser|library) general public license(?:G(?:v|version))?G?2G1"),
     ("lgpl-3.0", "general", r"(?:gnuG)?lesser general public license(?:G(?:v|version))?G?3(?:G0)?"),
     ("lgpl", "general", r"(?:gnuG)?(?:lesser|library) general public"),
-    ("agpl-3.0", "agpl", r"(?:gnuG)?agpl(?:G(?:v|version))?G?3(?:G0)?"),
+    ("agpl-3.0", "agpl", r"(?:gnuG)?agpl(?:G?(?:v|version))?G?3(?:G0)?"),
     ("agpl", "agpl", r"(?:gnuG)?agpl"),
     ("agpl-3.0", "affero", r"(?:gnuG)?affero general public license(?:G(?:v|version))?G?3(?:G0)?"),
     ("agpl", "affero", r"(?:gnuG)?affero general public"),
