@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -357,3 +359,119 @@ def recurrence(series: DataFrame, lag: int = 1, quantile: float = 0.1) -> DataFr
     pairs = rows.select("id", F.explode(F.transform(F.sequence(F.col("i") + 1, F.col("last")), lambda j: dist(F.col("i"), j))).alias("d"))
     eps = pairs.groupBy("id").agg(F.percentile("d", quantile).alias("eps"), F.count("*").alias("n"))
     return pairs.join(eps, "id").groupBy("id", "eps", "n").agg(F.sum((F.col("d") <= F.col("eps")).cast("long")).alias("hits")).select("id", "eps", (F.col("hits") / F.col("n")).alias("rate"))
+
+
+# ---- gates, audits and spectra as the reference surveys them ----------------------------------------------
+
+
+def gate_composition(series: DataFrame, meta: DataFrame, levels: int = 100) -> DataFrame:
+    """(id, verdict): the first rule of the stationary profile that a series breaks, else ok.
+
+    Real values and no periodic maps or flows; then, unless tagged nonstationary, the mean
+    and, but for events and bursts, the variance over five windows; settled deterministic
+    systems (classes F, G, H, L) have the tighter bounds. meta: id, cls, discrete, periodic,
+    stationary, bursty, event_like, deterministic.
+    """
+    both = real_valued_gate(series, meta, levels).join(window_stationarity(series), "id").join(meta, "id")
+    settled = F.col("cls").isin("F", "G", "H", "L") & F.col("deterministic").isin("yes", "partly")
+    variance = (F.col("ss") > F.when(settled, 0.3).otherwise(0.5)) | (F.col("vr") > F.when(settled, 6.0).otherwise(20.0))
+    exempt = (F.col("bursty") == "yes") | (F.col("event_like") == "yes")
+    drift = F.when(F.col("stationary") == "no", F.lit(None)).when(F.col("sm") > 0.5, "mean").when(~exempt & variance, "variance")
+    return both.select("id", F.coalesce("reason", drift, F.lit("ok")).alias("verdict"))
+
+
+def reversibility_audit(series: DataFrame, lags: list[int], segments: int = 20) -> DataFrame:
+    """(id, lag, trev, t_trev, trev2, t_trev2, bic, t_bic): means of the statistics over equal segments and mean / (sd / sqrt(segments))."""
+    n = F.count("*").over(by_id())
+    size = F.floor(n / segments)
+    cut = series.withColumn("size", size).filter((F.col("size") > 0) & (F.col("t") < F.col("size") * segments))
+    cut = cut.select(F.struct("id", F.floor(F.col("t") / F.col("size")).alias("segment")).alias("id"), "t", "v")
+    stats = reversibility(cut, lags).select(F.col("id.id").alias("id"), "lag", "trev", "trev2", "bic")
+    t = lambda c: F.avg(c) / (F.stddev_samp(c) / F.sqrt(F.count(c)))
+    return stats.groupBy("id", "lag").agg(*(f(c).alias(p + c) for c in ("trev", "trev2", "bic") for p, f in (("", F.avg), ("t_", t))))
+
+
+def periodicity(series: DataFrame) -> DataFrame:
+    """(id, r): autocorrelation at the lag of the dominant period; 0 where that lag is under 2 or over half the length."""
+    centred = series.select("id", "t", (F.col("v") - F.avg("v").over(by_id())).alias("z"), F.count("*").over(by_id()).alias("n"))
+    lag = dominant_period(series).select("id", F.rint("period").cast("int").alias("lag"))
+    arrays = centred.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "z"))), lambda x: x["z"]).alias("x")).join(lag, "id", "left")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + F.coalesce(p, F.lit(0.0)))
+    size = F.size("x")
+    fits = (F.col("lag") >= 2) & (F.col("lag") < F.floor(size / 2))
+    ahead = F.slice("x", F.coalesce("lag", F.lit(0)) + 1, F.greatest(size - F.coalesce("lag", F.lit(0)), F.lit(0)))
+    return arrays.select("id", F.when(fits, dot(F.slice("x", 1, F.size(ahead)), ahead) / dot(F.col("x"), F.col("x"))).otherwise(0.0).alias("r"))
+
+
+def spectral_period(series: DataFrame) -> DataFrame:
+    """(id, period): period of the largest Hann-windowed power from two cycles on, where it is clear: at least five times
+    the median power, at least 3 samples and at most n / 2.5; null elsewhere and below 32 samples.
+    """
+    n = F.count("*").over(by_id())
+    hann = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("t") / (n - 1))
+    rows = series.select("id", "t", n.alias("n"), ((F.col("v") - F.avg("v").over(by_id())) * hann).alias("z")).filter("n >= 32")
+    waves = rows.select("id", "t", "n", "z", F.explode(F.sequence(F.lit(2).cast("long"), F.floor(F.col("n") / 2))).alias("k"))
+    angle = 2 * math.pi * F.col("k") * F.col("t") / F.col("n")
+    power = waves.groupBy("id", "n", "k").agg((F.pow(F.sum(F.col("z") * F.cos(angle)), 2) + F.pow(F.sum(F.col("z") * F.sin(angle)), 2)).alias("p"))
+    top = power.groupBy("id", "n").agg(F.max(F.struct(F.round("p", 6).alias("p"), (-F.col("k")).alias("k"))).alias("best"), F.percentile(F.when(F.col("p") > 0, F.col("p")), 0.5).alias("median"))
+    period = F.col("n") / -F.col("best.k")
+    clear = (F.col("best.p") >= 5 * F.col("median")) & (period >= 3) & (period <= F.col("n") / 2.5)
+    return series.select("id").distinct().join(top.select("id", F.when(clear, period).alias("period")), "id", "left")
+
+
+def best_start(series: DataFrame, width: int, starts: int = 9) -> DataFrame:
+    """(id, start, sd): of `starts` evenly spread windows the first with the largest deviation; series shorter than a window have none."""
+    n = F.count("*").over(by_id())
+    first = lambda i: F.rint(i / (starts - 1) * (F.col("n") - width)).cast("long")
+    rows = series.select("id", "t", "v", n.alias("n")).filter(F.col("n") >= width)
+    offered = rows.select("id", "t", "v", F.explode(F.array_distinct(F.array(*(first(i) for i in range(starts))))).alias("start")).filter((F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + width))
+    spread = offered.groupBy("id", "start").agg(F.stddev_pop("v").alias("sd"))
+    best = spread.groupBy("id").agg(F.max(F.struct(F.round("sd", 9).alias("r"), (-F.col("start")).alias("s"), "sd")).alias("b"))
+    return best.select("id", (-F.col("b.s")).alias("start"), F.col("b.sd").alias("sd"))
+
+
+def recurrence_blocks(series: DataFrame, blocks: int, lag: int = 1, quantile: float = 0.1) -> DataFrame:
+    """(id, a, b, n): recurrent pairs of 3-point delay vectors (each with itself too) by blocks a <= b of time.
+
+    Two vectors recur if their squared distance is within the quantile of `recurrence`. Each
+    series is one array in an Arrow batch; its distances are one numpy matrix.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids, xs = batch.column("id"), batch.column("x").to_pylist()
+            for i, x in enumerate(xs):
+                z = np.asarray(x, float)
+                sd = z.std()
+                z = (z - z.mean()) / (sd if sd > 0 else 1.0)
+                m = len(z) - 2 * lag
+                if m < 2:
+                    continue
+                e = np.stack([z[k * lag : k * lag + m] for k in range(3)], 1)
+                d = ((e[:, None] - e[None]) ** 2).sum(2)
+                up = np.triu_indices(m, 1)
+                eps = np.quantile(d[up], quantile)
+                u, v = np.nonzero(np.triu(d <= eps))
+                size = max(1, -(-m // blocks))
+                key, n = np.unique(u // size * (m + 1) + v // size, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"id": pa.array([ids[i].as_py()] * len(n), ids.type), "a": pa.array(key // (m + 1)), "b": pa.array(key % (m + 1)), "n": pa.array(n.astype(np.int64))})
+
+    kind = series.schema["id"].dataType.simpleString()
+    return to_arrays(series).select("id", "x").mapInArrow(run, f"id {kind}, a long, b long, n long")
+
+
+def decimate(series: DataFrame, k: int, order: int = 8) -> DataFrame:
+    """(id, t, v): every k-th sample after a low-pass at 0.4 / k of the sampling rate, applied to the spectrum and so without phase shift."""
+    from tideloom.generators.kit import butterworth
+
+    low = butterworth(order, None, 0.4 / k)
+
+    def run(batches):
+        for batch in batches:
+            ids, xs = batch.column("id"), batch.column("x").to_pylist()
+            for i, x in enumerate(xs):
+                y = low(np.asarray(x, float))[::k]
+                yield pa.RecordBatch.from_pydict({"id": pa.array([ids[i].as_py()] * len(y), ids.type), "t": pa.array(np.arange(len(y))), "v": pa.array(y)})
+
+    kind = series.schema["id"].dataType.simpleString()
+    return to_arrays(series).select("id", "x").mapInArrow(run, f"id {kind}, t long, v double")

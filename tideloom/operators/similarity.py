@@ -130,3 +130,21 @@ def pca(features: DataFrame, parts: int = 2) -> DataFrame:
         rows.append(v * np.sign(v[np.abs(v).argmax()]))
     score = [F.aggregate(F.zip_with("f", F.array(*map(F.lit, (v).tolist())), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x) - float(mean @ v) for v in rows]
     return features.select("id", F.posexplode(F.array(*score)).alias("part", "score")).withColumn("part", F.col("part").cast("long"))
+
+
+def robust_sigmoid_z(features: DataFrame, factor: float = 1 / 1.35) -> DataFrame:
+    """(id, j, z): robust_sigmoid, then every column centred and divided by its deviation (1 where it is 0)."""
+    squashed = robust_sigmoid(features, factor)
+    stats = squashed.groupBy("j").agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("sd"))
+    return squashed.join(F.broadcast(stats), "j").select("id", "j", ((F.col("s") - F.col("m")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))).alias("z"))
+
+
+def clean_features(features: DataFrame, most: float = 8.0) -> DataFrame:
+    """(id, j, z): columns without any value go, missing values (null or NaN) take the column's mean, then z held within `most`."""
+    value = F.when(~F.isnan("v"), F.col("v"))
+    wide = features.select("id", F.posexplode("f").alias("j", "v")).select("id", F.col("j").cast("long").alias("j"), value.alias("v"))
+    means = wide.groupBy("j").agg(F.avg("v").alias("m")).filter("m IS NOT NULL")
+    filled = wide.join(F.broadcast(means), "j").select("id", "j", F.coalesce("v", "m").alias("v"))
+    stats = filled.groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
+    z = (F.col("v") - F.col("m")) / (F.col("sd") + 1e-12)
+    return filled.join(F.broadcast(stats), "j").select("id", "j", F.greatest(F.least(z, F.lit(most)), F.lit(-most)).alias("z"))

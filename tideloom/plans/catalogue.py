@@ -600,3 +600,6 @@ def _(spark, d):
     from tideloom.streaming.monitor import windowed_stats
 
     return windowed_stats(read(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from tideloom.plans import surveyed  # noqa: E402, F401  registers its queries with `query`
