@@ -150,3 +150,36 @@ def test_screen_full_query(spark, sf):
     worse = full.alias("f").join(short.alias("s"), "id").filter("f.n_issues < s.n_issues").count()
     assert worse == 0
     assert QUERIES["screen_full_summary"](spark, sf).agg({"series": "sum"}).collect()[0][0] == short.count()
+
+
+def test_profile_gate_and_reversibility():
+    from tideloom.generators.reversible import time_reversible
+
+    tags = registry.DEFAULTS | {"deterministic": "yes"}
+    rng = np.random.default_rng(1)
+    flat, walk = rng.standard_normal(1000), np.cumsum(rng.standard_normal(1000))
+    grown = flat * np.repeat([1, 1, 1, 1, 2.2], 200)
+    assert registry.profile_gate(flat, tags, "B") is None
+    assert registry.profile_gate(walk, tags, "B") == "mean drifts" and registry.profile_gate(walk, tags | {"stationary": "no"}, "B") is None
+    assert registry.profile_gate(grown, tags, "B") is None and registry.profile_gate(grown, tags, "G") == "variance drifts"
+    assert registry.profile_gate(grown, tags | {"bursty": "yes"}, "G") is None
+    assert registry.profile_gate(flat.round(), tags, "B") == registry.profile_gate(flat, tags | {"discrete_valued": "yes"}, "B") == "not real-valued"
+    assert registry.profile_gate(flat, tags | {"periodic": "yes"}, "F") == "periodic orbit"
+    assert [time_reversible(n, {"time_reversible": "own"}, p) for n, p in (("I.double-well", {}), ("E.garch", {}), ("N.rr-af", {}), ("L.mixture", {"kind": 3}), ("L.mixture", {"kind": 0}), ("H.harmonic", {"kind": "square"}), ("A.gaussian", {}), ("M.downsampled", {"base": "E.garch/3"}))] == ["yes", "no", "na", "yes", "no", "own", "own", "no"]
+    assert registry.generate("C.shot-noise", 0, 400, "stationary1000")["tags"]["time_reversible"] == "no"
+
+
+def test_profiles_differ_where_they_should():
+    full, settled = (registry.generate("A.student-t", 0, 300, p)["numerics"]["tail_index"] for p in registry.PROFILES)
+    assert full < 2 < settled
+    for name, index in (("F.circle-map", 0), ("J.hawkes", 3), ("M.nonlinear-readout", 3), ("J.renewal", 0)):
+        assert registry.generate(name, index, 1000, "stationary1000")["tags"]["discrete_valued"] == "no"
+    assert registry.generate("M.nonlinear-readout", 3, 1000)["tags"]["discrete_valued"] == "yes"
+    assert registry.generate("N.barnes-sunspot", 0, 500)["params"].get("x") is None
+
+
+def test_build_of_the_stationary_profile(spark, tmp_path):
+    made = lifecycle.build(spark, str(tmp_path / "s"), profile="stationary1000", classes=["F", "J"], families=["circle-map", "cox-smoothed"])
+    rows = made.select("id", "keywords", "error").collect()
+    assert len(rows) == 15 and all(r.error is None for r in rows)
+    assert all(r.keywords.startswith(f"class-{r.id.split('_')[1]},{r.id.split('_')[2]},abstract") for r in rows)

@@ -29,10 +29,9 @@ def poisson(i, rng, T, S):
 def renewal(i, rng, T, S):
     kind, shape = ("gamma", "lognormal", "weibull", "pareto")[i % 4], S.draw("shape", 0.4, 4, log=True)
     gap = {"gamma": lambda n: rng.gamma(shape, 1 / shape, n), "lognormal": lambda n: rng.lognormal(0, 1 / shape**0.5, n), "weibull": lambda n: rng.weibull(max(shape, 0.5), n), "pareto": lambda n: rng.pareto(1.5 + shape, n)}[kind]
-    if i % 2 == 0:
-        return gap(T), {"kind": kind, "shape": shape}
-    x = K.bin_events(K.renewal(rng, lambda n: 4 * gap(n), T), T)
-    return K.smooth(x, 3), {"kind": kind, "shape": shape}
+    if S.stationary or i % 2 == 1:  # intervals
+        return gap(T), {"kind": kind, "shape": shape, "event_like": "no"}
+    return K.bin_events(K.renewal(rng, lambda n: 4 * gap(n), T), T), {"kind": kind, "shape": shape, "discrete_valued": "yes"}
 
 
 def _hawkes(rng, T, mu, branching, decay, power=False):
@@ -51,10 +50,17 @@ def _hawkes(rng, T, mu, branching, decay, power=False):
 
 @register("J", "hawkes", 8, 9, bursty="yes", event_like="yes")
 def hawkes(i, rng, T, S):
-    n, tau = S.draw("branching", 0.3, 0.85), S.draw("decay", 2, 15)
-    x = K.bin_events(_hawkes(rng, T, 0.3, n, tau, i % 2 == 1), T)
-    y, info = _rate(x, S, rng)
-    return y, info | {"branching": n, "corr_time": tau}
+    n, tau = S.draw("branching", 0.3, 0.85), S.draw("decay", 2, 10 if S.stationary else 50)
+    mean = S.draw("rate", *((0.2, 1.0) if S.stationary else (0.05, 0.5)), log=True)
+    times = _hawkes(rng, 4 * T, mean * (1 - n), n, tau, i % 2 == 1)
+    info = {"branching": n, "corr_time": tau, "rate": mean}
+    if not S.stationary and i % 4 == 3 and len(times) > T:
+        return np.diff(times)[-T:], info | {"event_like": "no"}
+    x = K.bin_events(times, 4 * T)[-T:]
+    if not S.stationary:
+        return x, info | {"discrete_valued": "yes"}
+    y, more = _rate(x, S, rng)
+    return y, more | info
 
 
 def _cox(i, rng, T, S):
@@ -340,7 +346,7 @@ def longlag(i, rng, T, S):
     x = e.copy()
     for t in range(lag, n):
         x[t] = e[t] + (0.7 * x[t - lag] if i % 2 == 0 else 0.5 * (e[t - lag] ** 2 - 1))
-    return K.ar_filter(x, [0.3])[-T:], {"lag": lag}
+    return K.ar_filter(x, [0.3])[-T:], {"lag": lag, "kind": "linear" if i % 2 == 0 else "quadratic"}
 
 
 @register("L", "cyclostationary-switch", 6, 6, oscillatory="partly")
@@ -364,6 +370,8 @@ def replay(i, rng, T, S):
 @register("L", "pac", 5, 5, oscillatory="yes")
 def phase_amplitude(i, rng, T, S):
     slow, fast = S.draw("slow", 40, 120), S.draw("fast", 5, 12)
+    if S.stationary and i == 4:  # slow waves and spindles
+        slow, fast = S.draw("wave", 100, 140), S.draw("spindle", 7, 9)
     jitter = lambda p: 2 * np.pi * np.cumsum((1 + 0.2 * K.smooth(rng.standard_normal(T), 5)) / p)
     a = jitter(slow)
     x = np.sin(a) + 0.7 * (1 + np.cos(a)) * np.sin(jitter(fast)) + 0.1 * rng.standard_normal(T)
@@ -438,7 +446,7 @@ def _base(i, rng, T, S, names=_BASES):
     index = int(rng.integers(0, 8))
     from tideloom.generators.kit import Strata
 
-    x, _ = load()[name].gen(index, rng, T, Strata(name, index, 8))
+    x, _ = load()[name].gen(index, rng, T, Strata(name, index, 8, S.stationary))
     return np.asarray(x, float), {"base": f"{name}/{index}"}
 
 
@@ -462,7 +470,7 @@ def missing(i, rng, T, S):
     there = rng.random(T) >= S.draw("share", 0.05, 0.4)
     there[0] = there[-1] = True
     at = np.flatnonzero(there)
-    return (x[np.maximum.accumulate(np.where(there, np.arange(T), 0))] if i % 2 == 0 else np.interp(np.arange(T), at, x[at])), info
+    return (x[np.maximum.accumulate(np.where(there, np.arange(T), 0))] if i % 2 == 0 else np.interp(np.arange(T), at, x[at])), info | {"fill": "hold" if i % 2 == 0 else "line"}
 
 
 @register("M", "irregular-sampling", 3, 3)
@@ -482,7 +490,7 @@ def aliased(i, rng, T, S):
 @register("M", "oversampled", 3, 3, deterministic="yes", chaotic="yes")
 def oversampled(i, rng, T, S):
     f, s, dt = ((lorenz(), (1, 1, 20), 0.01), (rossler(), (1, 1, 0), 0.05))[i % 2]
-    p = S.draw("points", 40, 70)
+    p = S.draw("points", *((40, 70) if S.stationary else (150, 400)))
     return K.flow(f, s, T, dt, p), {"points": p}
 
 
@@ -490,6 +498,8 @@ def oversampled(i, rng, T, S):
 def readout(i, rng, T, S):
     x, info = _base(i, rng, T + 1, S)
     z = K.zscore(x)
+    if i % 5 == 3 and not S.stationary:
+        return np.sign(z[1:]), info | {"kind": "sign", "discrete_valued": "yes"}
     return (z[1:] ** 2, np.abs(z[1:]), np.exp(z[1:] / 2), z[1:] ** 3, z[1:] * z[:-1])[i % 5] + 1e-9 * rng.standard_normal(T), info | {"kind": i % 5}
 
 
@@ -509,7 +519,7 @@ def integrated(i, rng, T, S):
 @register("M", "heavy-noise", 4, 7)
 def heavy_noise(i, rng, T, S):
     x, info = _base(i, rng, T, S)
-    snr = S.draw("snr", -6, 10)
+    snr = S.draw("snr", -6, 0)
     return x + x.std() * 10 ** (-snr / 20) * rng.standard_normal(T), info | {"snr_db": snr}
 
 

@@ -46,7 +46,7 @@ _DDES = {
     "hutchinson": (lambda x, y, t: 1.8 * x * (1 - y), 0.5, (1, 1.3)),
     "sine": (lambda x, y, t: np.sin(y) - 0.1 * x, 0.5, (3, 8)),
     "ucar": (lambda x, y, t: y - y**3, 0.5, (1.3, 1.6)),
-    "band-pass": (lambda x, y, t: np.stack([-x[0] - 0.05 * x[1] + 3 * np.sin(y[0]) ** 2, x[0]]), (0.5, 0.0), (6, 12)),
+    "band-pass": (lambda x, y, t: np.stack([-x[0] - 0.1 * x[1] + 5 * np.cos(y[0] + 0.8) ** 2, x[0]]), (0.5, 0.0), (6, 12)),
 }
 
 
@@ -79,9 +79,16 @@ _CANON = (
 )
 
 
+#: In the stationary profile other regimes stand for those with periodic windows.
+_SETTLED = {
+    1: (lorenz(r=130), (1, 1, 20), 0.006, 0), 2: (lambda x, t: (35 * (x[1] - x[0]), -7 * x[0] - x[0] * x[2] + 28 * x[1], x[0] * x[1] - 3 * x[2]), (-10, 0, 37), 0.005, 0),
+    3: (rossler(a=0.3, b=0.1, c=14.0), (1, 1, 0), 0.03, 0),
+}
+
+
 @register("G", "canonical-sweep", 9, 9, chaotic="yes", **_DET)
 def canonical(i, rng, T, S):
-    f, start, dt, column = _CANON[i % 9]
+    f, start, dt, column = (_SETTLED if S.stationary else {}).get(i % 9, _CANON[i % 9])
     x = K.flow(f, np.array(start, float) + 0.1 * rng.random(len(start)), T, dt, S.draw("points", 8, 40, log=True), column)
     return _dial(x, rng, S, regime=i % 9)
 
@@ -119,7 +126,7 @@ def billiard(i, rng, T, S):
 @register("G", "bouncing-ball", 0, 2, chaotic="yes", deterministic="yes")
 def bouncing(i, rng, T, S):
     """Ball on a vibrating table: phases of successive impacts by bisection."""
-    amp, loss = S.draw("amp", 0.25, 0.4), 0.8
+    amp, loss = S.draw("amp", 2.0, 2.8), 0.8  # the table outruns gravity, so that the ball never sticks
     table, speed = lambda t: amp * np.sin(t), lambda t: amp * np.cos(t)
     t, v, out = 0.3, 2.0, np.empty(T + 200)
     for k in range(T + 200):
@@ -146,13 +153,13 @@ _OSC = {"oscillatory": "yes", "deterministic": "yes", "continuous_time": "yes"}
 
 @register("H", "sinusoid", 5, 3, periodic="yes", **_OSC)
 def sinusoid(i, rng, T, S):
-    period = S.draw("period", 5, 150, log=True)
+    period = S.draw("period", 2.2, 60 if S.stationary else 300, log=True)
     return _dial(np.sin(2 * np.pi * (np.arange(T) / period + rng.random())), rng, S, period_samples=period)
 
 
 @register("H", "harmonic", 7, 5, periodic="yes", **_OSC)
 def harmonic(i, rng, T, S):
-    kind, period = ("square", "saw", "triangle", "pulse", "random")[i % 5], S.draw("period", 12, 150, log=True)
+    kind, period = (("saw", "random") if S.stationary else ("square", "saw", "triangle", "pulse", "random"))[i % (2 if S.stationary else 5)], S.draw("period", 8, 120, log=True)
     k = np.arange(1, 8)
     amp = {"square": (k % 2) / k, "saw": 1 / k, "triangle": (k % 2) * (-1.0) ** ((k - 1) // 2) / k**2, "pulse": np.ones(7), "random": rng.random(7) / k}[kind]
     shift = rng.random(7) if kind == "random" else np.zeros(7)
@@ -262,14 +269,14 @@ def near_critical(i, rng, T, S):
 
 @register("I", "noisy-limit-cycle", 10, 8, oscillatory="yes", **_SDE)
 def noisy_cycle(i, rng, T, S):
-    kind, s = ("vdp", "lienard", "stuart-landau")[i % 3], S.draw("s", 0.05, 0.5, log=True)
-    f = {"vdp": van_der_pol(2.0), "lienard": lambda x, t: (x[1], -(x[0] ** 2 - 0.8) * x[1] - x[0] ** 3), "stuart-landau": stuart_landau(1.0, 1.5)}[kind]
+    kind, s = (("vdp", "relaxation") if S.stationary else ("vdp", "stuart-landau", "lienard"))[i % (2 if S.stationary else 3)], S.draw("s", 0.3 if S.stationary else 0.2, 1.0, log=True)
+    f = {"vdp": van_der_pol(rng.uniform(0.3, 3)), "relaxation": van_der_pol(rng.uniform(2, 5)), "lienard": lambda x, t: (x[1], -(x[0] ** 2 - 0.8) * x[1] - x[0] ** 3), "stuart-landau": stuart_landau(1.0, 1.5)}[kind]
     return K.sde(rng, f, s, (0.5, 0.5), T, 0.02, 12, 100)[:, 0], {"kind": kind, "s": s}
 
 
 @register("I", "noisy-chaos", 8, 14, chaotic="partly", **_SDE)
 def noisy_chaos(i, rng, T, S):
-    kind, s = ("lorenz", "rossler", "chua")[i % 3], S.draw("s", 0.02, 0.5, log=True)
+    kind, s = ("lorenz", "rossler", "chua")[i % 3], S.draw("s", *((0.1, 0.5) if S.stationary else (0.03, 0.3)), log=True)
     f, start, dt, every, g = {"lorenz": (lorenz(), (1, 1, 20), 0.005, 15, 3), "rossler": (rossler(), (1, 1, 0), 0.01, 30, 0.3), "chua": (chua(), (0.7, 0, 0), 0.005, 30, 0.05)}[kind]
     return K.sde(rng, f, s * g, start, T, dt, every, 100)[:, 0], {"kind": kind, "s": s}
 
@@ -277,16 +284,18 @@ def noisy_chaos(i, rng, T, S):
 @register("I", "stochastic-resonance", 6, 12, regime_switching="yes", **_SDE)
 def resonance(i, rng, T, S):
     period, s = S.draw("period", 40, 200), S.draw("s", 0.4, 0.8)
-    return K.sde(rng, lambda x, t: x - x**3 + 0.3 * np.sin(2 * np.pi * t / (period * 0.5)), s, (1,), T, 0.05, 10, 100)[:, 0], {"period_samples": period, "s": s}
+    every = 20 if S.stationary else 10  # coarser sampling: twice the hops in a record
+    return K.sde(rng, lambda x, t: x - x**3 + 0.3 * np.sin(2 * np.pi * t / (period * 0.5)), s, (1,), T, 0.05, every, 100)[:, 0], {"period_samples": period * 10 / every, "s": s}
 
 
 @register("I", "excitable-fhn", 8, 8, event_like="yes", **_SDE)
 def excitable(i, rng, T, S):
-    s = S.draw("s", 0.1, 0.5)
-    if i % 2 == 0:
-        x = K.sde(rng, fitzhugh(0.25), (s * 0.5, s * 0.1), (-1, -0.5), T, 0.1, 15, 100)[:, 0]
+    if S.stationary and i >= 5:  # rotator past a saddle-node on the circle
+        s, b = rng.uniform(0.25, 0.35), S.draw("b", 1.03, 1.1)
+        x = -np.cos(K.sde(rng, lambda x, t: 1 - b * np.sin(x), s, (0,), T, 0.02, 25, 80)[:, 0])
     else:
-        x = np.sin(K.sde(rng, lambda x, t: 0.95 - np.sin(x), s, (1,), T, 0.05, 20, 100)[:, 0])
+        s, current = (S.draw("s", 0.15, 0.4, log=True), S.draw("current", 0, 0.32)) if S.stationary else (S.draw("s", 0.12, 0.5, log=True), 0.35)
+        x = K.sde(rng, fitzhugh(current), (s * 0.5, s * 0.1), (-1, -0.5), T, 0.1, 15, 100)[:, 0]
     return x, {"s": s, "spikes": int(((x[1:] > 0) & (x[:-1] <= 0)).sum())}
 
 

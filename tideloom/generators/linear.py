@@ -44,7 +44,7 @@ def laplace(i, rng, T, S):
 
 @register("A", "student-t", 4, 4, heavy_tailed="yes", time_reversible="yes")
 def student(i, rng, T, S):
-    nu = (1.5, 2.5, 4.0, 8.0)[i % 4]
+    nu = ((3.0, 4.0, 5.0, 7.0) if S.stationary else (1.5, 2.0, 3.0, 5.0))[i % 4]
     return rng.standard_t(nu, T), {"tail_index": nu}
 
 
@@ -80,7 +80,7 @@ def discrete(i, rng, T, S):
 def exponential_pareto(i, rng, T, S):
     if i % 2 == 0:
         return rng.exponential(1, T), {"kind": "exponential"}
-    a = S.draw("tail", 2, 4)
+    a = S.draw("tail", 2.2 if S.stationary else 1.2, 4, log=True)
     return rng.random(T) ** (-1 / a), {"kind": "pareto", "tail_index": a}
 
 
@@ -175,8 +175,13 @@ def ar_skew(i, rng, T, S):
 
 @register("C", "arma-heavy", 8, 9, linear="yes", heavy_tailed="yes")
 def arma_heavy(i, rng, T, S):
-    phi, a = K.stable_ar(rng, S.integer("p", 1, 3), 0.95), S.draw("tail", 1.6, 4)
-    e = K.stable(rng, a, 0, T + 2 * BURN) if a < 2 else rng.standard_t(a, T + 2 * BURN)
+    phi, n = K.stable_ar(rng, S.integer("p", 1, 3), 0.8), T + 2 * BURN
+    if S.stationary or i % 2 == 0:  # Student's t, of finite variance where the record must look stationary
+        a = S.draw("nu", 3, 6) if S.stationary else S.draw("nu", 1.5, 4)
+        e = rng.standard_t(a, n)
+    else:
+        a = S.draw("alpha", 1.2, 1.9)
+        e = K.stable(rng, a, 0, n)
     return K.ar_filter(e, phi)[-T:], {"tail_index": a, "phis": phi.tolist()}
 
 
@@ -202,11 +207,11 @@ def ar_bounded(i, rng, T, S):
 
 @register("C", "shot-noise", 8, 9, linear="yes", event_like="yes", bursty="partly")
 def shot_noise(i, rng, T, S):
-    width, rate = S.draw("width", 2, 20, log=True), S.draw("rate", 0.02, 0.3, log=True)
+    width, rate = S.draw("width", 1.5, 6, log=True), S.draw("rate", 0.05, 0.3, log=True)
     t = np.arange(int(8 * width) + 2)
-    pulse = {0: np.exp(-t / width), 1: t / width * np.exp(1 - t / width), 2: np.exp(-0.5 * ((t - 4 * width) / width) ** 2), 3: (t < width) * 1.0}[i % 4]
+    pulse = {0: np.exp(-t / width), 1: t / width * np.exp(1 - t / width), 2: np.exp(-0.5 * ((t - 4 * width) / width) ** 2), 3: (t < width) * 1.0}[i % (3 if S.stationary else 4)]
     x = np.convolve((rng.random(T + 2 * BURN) < rate) * rng.exponential(1, T + 2 * BURN), pulse)[BURN : BURN + T]
-    return x + 1e-3 * x.std() * rng.standard_normal(T), {"rate": rate, "width": width}
+    return x + 1e-3 * x.std() * rng.standard_normal(T), {"rate": rate, "width": width, "kind": ("exponential", "alpha", "gaussian", "rectangle")[i % (3 if S.stationary else 4)]}
 
 
 # ---- D: long memory --------------------------------------------------------------------------------------

@@ -17,18 +17,22 @@ def _tags(domain: str, **more: str) -> dict[str, str]:
 
 @register("N", "predator-prey-ssa", 3, 3, **_tags("ecology", oscillatory="yes"))
 def predator_prey(i, rng, T, S):
-    size = S.draw("size", 60, 150)
+    size = S.draw("size", *((200, 400) if S.stationary else (50, 400)), log=True)
     if i % 2 == 0:
         rates = lambda x, t: np.array([x[0], x[0] * x[1] / size, x[1], 1.0])
     else:
         rates = lambda x, t: np.array([x[0] * max(0, 1 - x[0] / (3 * size)) + 1, 1.5 * x[0] * x[1] / (size + x[0]), 0.5 * x[1], 0.5])
-    x = K.gillespie(rng, (size, size), rates, np.array([[1, 0], [-1, 1], [0, -1], [1, 1]]), T, 0.12, 50)[:, 0]
+    x = K.gillespie(rng, (size, size), rates, np.array([[1, 0], [-1, 1], [0, -1], [1, 1]]), T, 0.25 if S.stationary else 0.1, 50)[:, 0]
     return np.log1p(x) + 1e-3 * rng.standard_normal(T), {"size": size}
 
 
 @register("N", "blowflies-ricker", 4, 4, **_tags("ecology", oscillatory="yes"))
 def blowflies(i, rng, T, S):
     if i % 2 == 0:
+        if S.stationary:  # large, sharp-peaked cycles; the longer delay doubles the peaks
+            birth, death, delay, span = (S.draw("birth", 6, 12), 0.175, 15.0, 1.0) if i == 0 else (rng.uniform(25, 35), 0.25, 20.0, 1.5)
+            x = K.dde(lambda x, y, t: birth * y * np.exp(-y) - death * x, 1.0, delay, T * 10, span / 10, 4000)[::10, 0][:T]
+            return x * (1 + 0.02 * rng.standard_normal(T)), {"birth": birth}
         r = S.draw("r", 1.7, 2.3)
         return K.dde(lambda x, y, t: r * x * (1 - y), 0.5, 1.0, T, 0.08, 2000)[:, 0] * np.exp(0.02 * rng.standard_normal(T)), {"r": r}
     r, x, out = S.draw("r", 2.2, 3), 1.0, np.empty(T)
@@ -44,8 +48,8 @@ def epidemic(i, rng, T, S):
     n, r0 = 20000, S.draw("r0", 4, 15)
     exposed = i % 2 == 1
     s, e, inf, out = int(n / r0), 5, 20, np.empty(T)
-    per, days = (1, 2)[i % 4 > 1], 7
-    for t in range(-100, T):
+    per, days = (2 if S.stationary else 1), 7
+    for t in range(-130 if S.stationary else 0, T):
         cases = 0
         for k in range(per * days):
             season = 1 + 0.2 * np.cos(2 * np.pi * ((t * per * days + k) / 365))
@@ -162,11 +166,11 @@ def _aftershocks(rng, T, mu):
 @register("N", "etas", 4, 5, **_tags("geophysics", event_like="yes", bursty="yes"))
 def etas(i, rng, T, S):
     mu = S.draw("mu", 0.5, 1.5)
-    t, _ = _aftershocks(rng, (3 if i % 2 else 1) * T, mu)
-    if i % 2 == 0:
-        return K.smooth(K.bin_events(t, T), 3) + 1e-6 * rng.random(T), {"rate": mu}
+    t, _ = _aftershocks(rng, 4 * T, mu)
     gap = np.diff(t)
-    return np.log(np.maximum(np.resize(gap, T), 1e-9)), {"rate": mu}
+    if (S.stationary or i % 2 == 1) and len(gap) >= T:
+        return np.log(np.maximum(gap[-T:], 1e-9)), {"rate": mu, "event_like": "no"}
+    return K.bin_events(t, 4 * T)[-T:] + 1e-6 * rng.random(T), {"rate": mu}
 
 
 @register("N", "soc-avalanche", 1, 0, **_tags("geophysics", event_like="yes", heavy_tailed="yes"))
@@ -189,8 +193,9 @@ def sandpile(i, rng, T, S):
 
 @register("N", "barnes-sunspot", 1, 1, **_tags("geophysics", oscillatory="yes"))
 def sunspot(i, rng, T, S):
-    z = K.ar_filter(K.ma_filter(rng.normal(0, 0.4, T + 500), [-0.15, 0.2]), K.ar2_of(22, 0.995))[-T:]
-    return z**2 + 0.03 * np.r_[0, np.diff(z**2)] ** 2, {"period_samples": 11}
+    period = 22 if S.stationary else 132  # half-years, or months, of an eleven-year cycle
+    z = 2 * K.zscore(K.ar_filter(K.ma_filter(rng.standard_normal(T + 3000), [-0.5, 0.2]), K.ar2_of(period, 0.93 if S.stationary else 0.985))[-T:])
+    return z**2 + 0.03 * z**3, {"period_samples": period}
 
 
 @register("N", "climate-model", 4, 4, **_tags("geophysics"))
@@ -199,6 +204,13 @@ def climate(i, rng, T, S):
     if kind == "hasselmann":
         return K.ar_filter(rng.standard_normal(T + 500), [0.8 + 0.18 * p])[-T:], {"kind": kind}
     if kind == "enso":
+        if S.stationary:  # weather noise drives the delayed oscillator
+            lag, step, noise, steps = 20, 0.1, rng.uniform(0.15, 0.4), 7 * (T + 100)
+            w = noise * step**0.5 * rng.standard_normal(steps)
+            y = np.full(steps + lag, 0.5)
+            for t in range(lag, steps + lag - 1):
+                y[t + 1] = y[t] + step * (y[t] - y[t] ** 3 - (0.6 + 0.35 * p) * y[t - lag]) + w[t - lag]
+            return y[-7 * T :: 7][:T], {"kind": kind}
         x = K.dde(lambda x, y, t: x - x**3 - (0.75 + 0.1 * p) * y, 0.5, 6.0, T, 0.1, 2000)[:, 0]
         return x + 0.05 * rng.standard_normal(T), {"kind": kind}
     if kind == "stommel":
@@ -222,25 +234,26 @@ def turbulence(i, rng, T, S):
         n, k, nu, dt = 14, 2.0 ** np.arange(14) * 0.0625 * 2, 1e-5, 2e-3
         u, out = (rng.standard_normal(n) + 1j * rng.standard_normal(n)) * 0.1 * k ** (-1 / 3), np.empty(T)
         damp = np.exp(-nu * k**2 * dt)
+        wide, force = np.zeros(n + 4, complex), 5e-3 * (1 + 1j) * (np.arange(n) == 0)
 
         def slope(u):
-            p = np.r_[u, 0, 0]
-            q = np.r_[0, 0, u]
-            up1, up2, dn1, dn2 = p[1 : n + 1], p[2 : n + 2], q[1 : n + 1], q[:n]
-            return 1j * (k * up2 * np.conj(up1) - 0.5 * k / 2 * up1 * np.conj(dn1) + 0.5 * k / 4 * dn1 * dn2) + 5e-3 * (1 + 1j) * (np.arange(n) == 0)
+            wide[2:-2] = u
+            up1, up2, dn1, dn2 = wide[3:-1], wide[4:], wide[1:-3], wide[:-4]
+            return 1j * k * (up2 * up1.conj() - 0.25 * up1 * dn1.conj() + 0.125 * dn1 * dn2) + force
 
-        for t in range(20 * (T + 100)):
+        every = 120 if S.stationary else 20  # coarser sampling: more turnovers in a record
+        for t in range(every * (T + 100)):
             mid = u + dt / 2 * slope(u)
             u = (u + dt * slope(mid)) * damp
             u = np.where(np.abs(u) < 10, u, 0.1)
-            if t % 20 == 19 and t // 20 >= 100:
-                out[t // 20 - 100] = u[4].real
+            if t % every == every - 1 and t // every >= 100:
+                out[t // every - 100] = u[6 if S.stationary else 4].real
         return out, {"kind": "shell"}
     n = 256
     u, wave, out = np.zeros(n), np.fft.rfftfreq(n, 1 / n), np.empty(T)
     for t in range(T + 100):
         force = sum(rng.standard_normal() * np.sin(m * 2 * np.pi * np.arange(n) / n + rng.uniform(0, 6.28)) for m in (1, 2, 3))
-        for _ in range(4):
+        for _ in range(10 if S.stationary else 4):
             half = np.fft.irfft(np.fft.rfft(u**2 / 2) * 1j * wave * (wave < n / 3), n)
             u = np.fft.irfft(np.fft.rfft(u + 0.004 * (force - half)) / (1 + 0.004 * 0.02 * wave**2), n)
         if t >= 100:
@@ -253,14 +266,14 @@ def turbulence(i, rng, T, S):
 
 @register("N", "onoff-traffic", 3, 3, **_tags("engineering", long_memory="yes"))
 def onoff(i, rng, T, S):
-    tail, total = S.draw("tail", 1.2, 1.8), np.zeros(T)
-    for _ in range(30):
-        t, on = -float(rng.uniform(0, 200)), rng.random() < 0.5
+    tail, total = S.draw("tail", 1.5, 1.9), np.zeros(T)
+    for _ in range(int(rng.integers(150, 400) if S.stationary else rng.integers(20, 100))):
+        t, on, height = -float(rng.uniform(0, 200)), rng.random() < 0.5, rng.uniform(0.5, 1.5) if S.stationary else 1.0
         while t < T:
-            d = 3 * (rng.pareto(tail) + 1)
+            d = (2 if S.stationary else 5) * (rng.pareto(tail) + 1)
             if on and t + d > 0:
                 lo, hi = int(max(t, 0)), int(min(t + d, T - 1))
-                total[lo : hi + 1] += 1
+                total[lo : hi + 1] += height
             t, on = t + d, not on
     return total + 0.1 * rng.standard_normal(T), {"tail_index": tail, "hurst": (3 - tail) / 2}
 
@@ -281,7 +294,7 @@ def speech(i, rng, T, S):
         gaps = np.cumsum(rng.normal(pitch, 0.03 * pitch, (n + 300) // int(pitch * 0.5) + 2)).astype(int)
         x[gaps[(gaps >= 0) & (gaps < n + 300)]] = 1
         seg = _resonate(x, vowels[int(rng.integers(0, 4))], 0.97)[-n:]
-        out.append(seg * rng.uniform(0.6, 1))
+        out.append(seg / (seg.std() or 1) * rng.uniform(0.6, 1))
         at += n
     x = np.concatenate(out)[:T]
     return x + 0.01 * x.std() * rng.standard_normal(T), {"period_samples": pitch}
@@ -490,7 +503,10 @@ def ecg(i, rng, T, S):
 def breathing(i, rng, T, S):
     gain, step = S.draw("gain", 1, 2.5), 0.25
     v = K.dde(lambda x, y, t: 1 - x * 1.2 * np.maximum(y, 0) ** (2 * gain) / (1 + np.maximum(y, 0) ** (2 * gain)), 0.8, 3.0, T, step / 3, 2000)[:, 0]
-    return np.maximum(v - v.min() + 0.1, 0) * np.sin(2 * np.pi * np.arange(T) / 6) + 0.02 * rng.standard_normal(T), {"gain": gain}
+    breath = np.sin(2 * np.pi * np.arange(T) / 8)
+    if S.stationary:  # rate and depth vary from breath to breath
+        breath = np.sin(np.cumsum(2 * np.pi / 8 * (1 + 0.1 * rng.standard_normal(T)))) * (1 + 0.08 * rng.standard_normal(T))
+    return np.maximum(v - v.min() + 0.1, 0) * breath + 0.02 * rng.standard_normal(T), {"gain": gain}
 
 
 @register("N", "neural-mass", 8, 11, **_tags("physiology", oscillatory="partly"))
@@ -512,9 +528,10 @@ def neural_mass(i, rng, T, S):
     def f(x, t):
         a = x[0] ** 3 - 3 * x[0] ** 2 if x[0] < 0 else (x[3] - 0.6 * (x[2] - 4) ** 2) * x[0]
         b = 0.0 if x[3] < -0.25 else 6 * (x[3] + 0.25)
-        return np.array([x[1] - a - x[2] + 3.1, 1 - 5 * x[0] ** 2 - x[1], (4 * (x[0] + 1.6 + 0.3 * p) - x[2]) / 300, -x[4] + x[3] - x[3] ** 3 + 0.45 + 0.01 * x[0] - 0.3 * (x[2] - 3.5), (-x[4] + b) / 10])
+        return np.array([x[1] - a - x[2] + 3.1, 1 - 5 * x[0] ** 2 - x[1], (4 * (x[0] + (2.08 if S.stationary and i == 8 else 1.6 + 0.3 * p)) - x[2]) / 300, -x[4] + x[3] - x[3] ** 3 + 0.45 + 0.01 * x[0] - 0.3 * (x[2] - 3.5), (-x[4] + b) / 10])
 
-    return K.sde(rng, f, (0.05, 0.05, 0, 0.1, 0.1), (-1.6, -10, 3, 0, 0), T, 0.02, 15, 100)[:, 0], {"kind": kind}
+    dt, every = (0.05, 150) if S.stationary else (0.02, 15)  # many seizures in a record, or one
+    return K.sde(rng, f, (0.05, 0.05, 0, 0.1, 0.1), (-1.6, -10, 3, 0, 0), T, dt, every, 100)[:, 0], {"kind": kind}
 
 
 @register("N", "neuron", 8, 10, **_tags("physiology", event_like="yes"))
@@ -532,10 +549,10 @@ def neuron(i, rng, T, S):
         return out, {"kind": kind}
     if kind == "hindmarsh-rose":
         f = lambda x, t: (x[1] - x[0] ** 3 + 3 * x[0] ** 2 - x[2] + 2.5 + drive, 1 - 5 * x[0] ** 2 - x[1], 0.006 * (4 * (x[0] + 1.6) - x[2]))
-        return K.sde(rng, f, (0.05, 0, 0), (-1, 0, 2), T, 0.05, 10, 100)[:, 0], {"kind": kind}
+        return K.sde(rng, f, (0.05, 0, 0), (-1, 0, 2), T, 0.05, 24 if S.stationary else 10, 100)[:, 0], {"kind": kind}
     if kind == "morris-lecar":
         f = lambda x, t: ((80 + 30 * drive - 2 * (x[0] + 60) - 4 * (0.5 + 0.5 * np.tanh((x[0] + 1.2) / 18)) * (x[0] - 120) - 8 * x[1] * (x[0] + 84)) / 20, 0.04 * np.cosh((x[0] - 2) / 60) * (0.5 + 0.5 * np.tanh((x[0] - 2) / 30) - x[1]))
-        return K.sde(rng, f, (1.0, 0), (-40, 0.1), T, 0.2, 10, 100)[:, 0], {"kind": kind}
+        return K.sde(rng, f, (1.0, 0), (-40, 0.1), T, 0.2, 12 if S.stationary else 5, 100)[:, 0], {"kind": kind}
 
     def f(x, t):
         v, m, h, n = x
@@ -547,7 +564,7 @@ def neuron(i, rng, T, S):
             a(0.01, 10, (v + 55) / 10) * (1 - n) - 0.125 * np.exp(-(v + 65) / 80) * n,
         ])
 
-    return K.sde(rng, f, (1.0, 0, 0, 0), (-65, 0.05, 0.6, 0.3), T, 0.02, 40, 20)[:, 0], {"kind": kind}
+    return K.sde(rng, f, (1.0, 0, 0, 0), (-65, 0.05, 0.6, 0.3), T, 0.02, 50 if S.stationary else 20, 20)[:, 0], {"kind": kind}
 
 
 @register("N", "glucose-insulin", 3, 3, **_tags("physiology", oscillatory="partly"))
@@ -558,7 +575,8 @@ def glucose(i, rng, T, S):
         at = m + int(rng.integers(0, 30))
         k = np.arange(max(min(120, 20 * T - at), 0))
         meals[at : at + len(k)] += rng.uniform(0.5, 1.5) * k / 20 * np.exp(1 - k / 20)
-    f = lambda x, y, t: np.array([-0.03 * x[0] - 0.02 * x[1] * (x[0] + 1) + 0.15 * meals[min(int(t), len(meals) - 1)], -0.05 * x[1] + 0.06 * max(y[0], 0)])
+    weak = 0.5 if S.stationary and i == 1 else 1.0  # insulin resistance: large, slow excursions
+    f = lambda x, y, t: np.array([-0.03 * weak * x[0] - 0.02 * weak * x[1] * (x[0] + 1) + 0.15 * meals[min(int(t), len(meals) - 1)], -0.05 * x[1] + 0.06 * max(y[0], 0)])
     x = K.dde(f, (1.0, 0.5), delay, 4 * T, 1.0, 0)[::4, 0]
     return x + 0.02 * x.std() * rng.standard_normal(T), {"delay": delay}
 
@@ -578,14 +596,18 @@ def circadian(i, rng, T, S):
 
 @register("N", "gene-cell", 6, 6, **_tags("physiology", oscillatory="yes"))
 def gene(i, rng, T, S):
-    kind, p = ("goodwin", "repressilator", "expression-ssa", "calcium")[i % 4], S.draw("p", 0, 1)
+    kinds = ("expression-ssa", "expression-ssa", "expression-ssa", "expression-ssa", "calcium", "calcium") if S.stationary else ("goodwin", "repressilator", "expression-ssa", "expression-ssa", "calcium", "calcium")
+    kind, p = kinds[i % 6], S.draw("p", 0, 1)
     if kind == "goodwin":
         x = K.flow(lambda x, t: (1 / (1 + x[2] ** (10 + 4 * p)) - 0.1 * x[0], x[0] - 0.1 * x[1], 0.1 * x[1] - 0.1 * x[2]), (0.5, 1, 1), T, 0.5, 25)
     elif kind == "repressilator":
         x = K.flow(lambda x, t: np.r_[-x[:3] + (40 + 40 * p) / (1 + np.roll(x[3:], 1) ** 2) + 0.2, -1.0 * (x[3:] - x[:3])], (1, 2, 3, 1, 2, 3), T, 0.05, 25)
     elif kind == "expression-ssa":
         rates = lambda x, t: np.array([0.1 * (1 - x[0]), 0.1 * x[0], 4 * x[0] + 0.2, 0.3 * x[1]])
-        return K.gillespie(rng, (0, 0), rates, np.array([[1, 0], [-1, 0], [0, 1], [0, -1]]), T, 0.5, 50)[:, 1] + 0.05 * rng.standard_normal(T), {"kind": kind}
+        x = K.gillespie(rng, (0, 0), rates, np.array([[1, 0], [-1, 0], [0, 1], [0, -1]]), T, 0.5, 50)[:, 1]
+        if S.stationary:  # protein made from the messages, and diluted
+            x = K.ar_filter(2.0 * np.r_[np.full(60, x.mean()), x], [0.8])[-T:]
+        return x + 0.05 * rng.standard_normal(T), {"kind": kind}
     else:
         f = lambda x, t: (1 + 7.3 * (0.25 + 0.4 * p) - 65 * x[0] ** 2 / (1 + x[0] ** 2) + 500 * x[1] ** 2 / (4 + x[1] ** 2) * x[0] ** 4 / (0.6561 + x[0] ** 4) + x[1] - 10 * x[0], 65 * x[0] ** 2 / (1 + x[0] ** 2) - 500 * x[1] ** 2 / (4 + x[1] ** 2) * x[0] ** 4 / (0.6561 + x[0] ** 4) - x[1])
         x = K.flow(f, (0.3, 1.5), T, 0.002, 40)

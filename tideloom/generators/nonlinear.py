@@ -86,15 +86,19 @@ def markov_switching(i, rng, T, S):
 
 @register("E", "hmm", 6, 8, regime_switching="yes")
 def hmm(i, rng, T, S):
-    k, dwell = (2, 3, 4)[i % 3], S.draw("dwell", 5, 60, log=True)
-    s = K.markov(rng, K.sticky(rng, k, dwell, cyclic=k == 3), T)
-    return rng.uniform(-3, 3, k)[s] + rng.uniform(0.3, 1.2, k)[s] * rng.standard_normal(T), {"states": k}
+    kind, dwell = ("gauss", "cyclic", "categorical")[i % (2 if S.stationary else 3)], S.draw("dwell", 4, 50, log=True)
+    k = {"gauss": 2, "cyclic": 3, "categorical": 3 + i % 3}[kind]
+    s = K.markov(rng, K.sticky(rng, k, dwell, cyclic=kind == "cyclic"), T)
+    if kind == "categorical":  # every state emits symbols by a distribution of its own
+        shares = rng.dirichlet(np.ones(k) * 0.5, k).cumsum(1)
+        return (rng.random(T)[:, None] > shares[s]).sum(1).clip(0, k - 1).astype(float), {"states": k, "kind": kind, "discrete_valued": "yes"}
+    return rng.uniform(-3, 3, k)[s] + rng.uniform(0.3, 1.2, k)[s] * rng.standard_normal(T), {"states": k, "kind": kind}
 
 
 @register("E", "stochastic-map", 12, 12)
 def stochastic_map(i, rng, T, S):
     kind = "holmes" if i == 15 else ("logistic", "tent", "henon", "ricker")[i % 4]
-    s, e = S.draw("s", 0.002, 0.05, log=True), rng.standard_normal((T + BURN, 2))
+    s, e = S.draw("s", 0.01 if S.stationary else 0.001, 0.1, log=True), rng.standard_normal((T + BURN, 2))
     x, y = 0.3 + 0.1 * rng.random(), 0.1
     out = np.empty(T + BURN)
     for t in range(T + BURN):
@@ -104,6 +108,7 @@ def stochastic_map(i, rng, T, S):
             x = min(max(1.9 * min(x, 1 - x) + s * e[t, 0], 1e-6), 1 - 1e-6)
         elif kind == "henon":
             x, y = 1 - 1.35 * x * x + y + s * e[t, 0], 0.3 * x
+            x, y = (x, y) if abs(x) < 2 else (0.1, 0.1)  # noise may carry it out of the basin
         elif kind == "ricker":
             x = x * np.exp(2.9 * (1 - x) + s * e[t, 0])
         else:
@@ -189,11 +194,11 @@ def _finish(x, rng, S, **info):
 
 @register("F", "logistic", 8, 5, **_DET)
 def logistic(i, rng, T, S):
-    for _ in range(40):
-        r = S.draw("r", 3.57, 4) if _ == 0 else rng.uniform(3.57, 4)
+    for attempt in range(40):
+        r = S.draw("r", 3.5, 4) if attempt == 0 else rng.uniform(3.57, 4)
         x = K.iterate(lambda x: r * x * (1 - x), [0.1 + 0.8 * rng.random()], T)[:, 0]
         lam = _lyapunov(r * (1 - 2 * x))
-        if lam > 0.01:
+        if lam > 0.01 or not S.stationary:  # periodic windows belong to the full profile
             break
     return _finish(x, rng, S, r=r, lyapunov=lam)
 
@@ -208,14 +213,17 @@ def classic(i, rng, T, S):
 
 @register("F", "circle-map", 6, 9, deterministic="yes", quasiperiodic="partly")
 def circle(i, rng, T, S):
-    w, k = S.draw("omega", 0.1, 0.9), S.draw("k", 0, 3)
-    theta = K.iterate(lambda x: (x + w - k / (2 * np.pi) * np.sin(2 * np.pi * x)) % 1.0, [rng.random()], T)[:, 0]
-    return _finish(np.sin(2 * np.pi * theta), rng, S, omega=w, k=k, chaotic="yes" if k > 1 else "no")
+    for attempt in range(40):
+        w, k = (S.draw("omega", 0.05, 0.95), S.draw("k", 1.05 if S.stationary else 0.3, 2.5)) if attempt == 0 else (rng.uniform(0.05, 0.95), rng.uniform(1.05, 2.5))
+        orbit = K.iterate(lambda x: (x + w - k / (2 * np.pi) * np.sin(2 * np.pi * x)) % 1.0, [rng.random()], T)[:, 0]
+        if not S.stationary or _lyapunov(1 - k * np.cos(2 * np.pi * orbit)) > 0.01:  # locked and drifting orbits belong to the full profile
+            break
+    return _finish(np.sin(2 * np.pi * orbit), rng, S, omega=w, k=k, chaotic="yes" if k > 1 else "no")
 
 
 @register("F", "pomeau-manneville", 6, 8, bursty="partly", **_DET)
 def pomeau(i, rng, T, S):
-    z = S.draw("z", 1.5, 2.5)
+    z = S.draw("z", 1.5, 2.0 if S.stationary else 2.5)  # beyond 2 laminar phases last as long as the record
     return _finish(K.iterate(lambda x: (x + x**z) % 1.0 or 0.1, [rng.random()], T)[:, 0], rng, S, z=z)
 
 
@@ -243,6 +251,8 @@ def impact(i, rng, T, S):
 @register("F", "map-sweep", 16, 16, **_DET)
 def sweep(i, rng, T, S):
     p, kind = S.draw("p", 0, 1), ("henon", "lozi", "ikeda", "standard", "zaslavskii", "cat", "burgers", "coupled-logistic")[i % 8]
+    if S.stationary and kind == "zaslavskii":  # settles on a short orbit
+        kind = "ikeda"
 
     def ikeda(x, y):
         t = 0.4 - 6 / (1 + x * x + y * y)
@@ -268,7 +278,9 @@ def sweep(i, rng, T, S):
     }
     f, start = steps[kind]
     x = K.iterate(f, start, T)[:, 0]
-    return _finish(np.sin(x) if kind == "standard" else x, rng, S, kind=kind)
+    if kind == "standard" and i % 16 > 8 and not S.stationary:  # the unwrapped momentum diffuses
+        return _finish(np.cumsum((2 + 4 * p) * np.sin(x)), rng, S, kind=kind, stationary="no", nonstationary_kind="stochastic-trend")
+    return _finish(np.sin(x) if kind == "standard" and S.stationary else x, rng, S, kind=kind)
 
 
 def _automaton(rule: int, T: int, width: int, start: np.ndarray) -> np.ndarray:

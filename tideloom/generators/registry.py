@@ -80,24 +80,57 @@ def gate(x: np.ndarray, discrete: bool) -> str | None:
     return None
 
 
+def profile_gate(x: np.ndarray, tags: dict[str, str], cls: str) -> str | None:
+    """The further rules of the stationary profile, None if the series passes.
+
+    Real values only; no periodic maps and flows; and, unless tagged nonstationary, little
+    drift of mean and variance over five windows: events and bursts may vary in variance,
+    settled deterministic systems less than others.
+    """
+    if tags["discrete_valued"] == "yes" or np.unique(x).size < 100:
+        return "not real-valued"
+    if cls in "FG" and tags["periodic"] == "yes":
+        return "periodic orbit"
+    if tags["stationary"] == "no":
+        return None
+    parts = x[: len(x) // 5 * 5].reshape(5, -1)
+    mean, deviation = parts.mean(1), parts.std(1)
+    if mean.std() > 0.5 * x.std():
+        return "mean drifts"
+    if "yes" in (tags["bursty"], tags["event_like"]):
+        return None
+    share, ratio = (0.3, 6.0) if cls in "FGHL" and tags["deterministic"] in ("yes", "partly") else (0.5, 20.0)
+    if deviation.std() > share * x.std() or deviation.max() ** 2 > ratio * max(deviation.min() ** 2, 1e-12):
+        return "variance drifts"
+    return None
+
+
 def generate(name: str, index: int, T: int = 1000, profile: str = "full", manual: int = 0, attempts: int = 8) -> dict:
     """One series and its record; a failing attempt is drawn again under its own name.
 
+    Attempts must have T samples and pass `gate` and, in the stationary profile, `profile_gate`.
+
     A pure function of its arguments: order, partitions and hosts do not matter.
     """
     if profile not in PROFILES:
         raise KeyError(profile)
     made = load()[name]
+    from tideloom.generators.reversible import time_reversible
+
     n = made.quota[profile] or max(made.quota.values()) or 1
     reason = None
     for attempt in range(attempts):
         base = (made.cls, made.key, index, *(("manual", manual) if manual else ()), *(("retry", attempt) if attempt else ()))
         with np.errstate(all="ignore"):
-            x, info = made.gen(index, stream(*base), T, Strata(name, index, n))
+            x, info = made.gen(index, stream(*base), T, Strata(name, index, n, profile == "stationary1000", attempt))
         x = np.asarray(x, float)
         tags = DEFAULTS | made.tags | {k: v for k, v in info.items() if k in TAGS}
         reason = f"length {len(x)}" if len(x) != T else gate(x, tags["discrete_valued"] == "yes")
+        if reason is None and profile == "stationary1000":
+            reason = profile_gate(x, tags, made.cls)
         if reason is None:
+            if profile == "stationary1000":
+                tags["time_reversible"] = time_reversible(name, tags, info)
             vectors = {k: v for k, v in info.items() if isinstance(v, np.ndarray) and v.shape == (T,)}
             numbers = {k: float(v) for k, v in info.items() if k in NUMERICS}
             rest = {k: v for k, v in info.items() if k not in TAGS and k not in NUMERICS and k not in vectors}

@@ -46,6 +46,12 @@ def selection(spark: SparkSession, profile: str, classes: Sequence[str] | None =
     return chosen.select("cls", "family", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("index"), F.lit(0).alias("manual"))
 
 
+def keywords(cls: str, family: str, tags: dict[str, str]) -> str:
+    """Class, family, domain, the tags that hold and the kind of nonstationarity, joined by commas."""
+    kind = tags["nonstationary_kind"]
+    return ",".join([f"class-{cls}", family, tags["domain"], *(t for t in registry.TAGS if tags[t] == "yes"), *([f"nonstat-{kind}"] if kind != "none" else [])])
+
+
 def _row(cls: str, family: str, index: int, manual: int, length: int, profile: str) -> dict:
     base = {"id": f"TL_{cls}_{family}_{index:03d}", "cls": cls, "family": family, "index": index, "manual": manual}
     try:
@@ -58,7 +64,7 @@ def _row(cls: str, family: str, index: int, manual: int, length: int, profile: s
     params = {k: (v if not isinstance(v, list) or len(v) <= 64 else f"<array {len(v)}>") for k, v in made["params"].items()}
     return base | made["tags"] | made["numerics"] | {
         "seed_name": made["seed_name"], "seed": str(seed_of(*made["seed_name"].split("/"))), "attempt": made["attempt"],
-        "params": json.dumps(params, sort_keys=True, default=str), "keywords": ",".join(t for t in registry.TAGS if made["tags"][t] == "yes"),
+        "params": json.dumps(params, sort_keys=True, default=str), "keywords": keywords(cls, family, made["tags"]),
         "x": made["x"].tolist(), "tvp": vectors["tvp"].tolist() if "tvp" in vectors else None, "sha256": hashlib.sha256(made["x"].tobytes()).hexdigest(),
     }
 

@@ -7,6 +7,7 @@ it can. Zero variance counts as a deviation of 1, as in the reference semantics.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -345,20 +346,37 @@ def reversibility(series: DataFrame, lags: list[int]) -> DataFrame:
     return pairs.groupBy("id", F.col("a.lag").alias("lag")).agg(trev(dx).alias("trev"), trev(dy).alias("trev2"), F.avg(x * x * z - x * z * z).alias("bic"))
 
 
+def _delay_distances(x: list[float], lag: int, quantile: float) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """(squared distances of a series' 3-point delay vectors, their quantile over pairs, distances of pairs); None below two vectors."""
+    z = np.asarray(x, float)
+    sd = z.std()
+    z = (z - z.mean()) / (sd if sd > 0 else 1.0)
+    m = len(z) - 2 * lag
+    if m < 2:
+        return None
+    d = np.zeros((m, m))
+    for k in range(3):
+        e = z[k * lag : k * lag + m]
+        d += (e[:, None] - e[None]) ** 2
+    pairs = d[np.triu_indices(m, 1)]
+    return d, float(np.quantile(pairs, quantile)), pairs
+
+
 def recurrence(series: DataFrame, lag: int = 1, quantile: float = 0.1) -> DataFrame:
     """(id, eps, rate): quantile of squared distances of 3-point delay vectors, and the share of pairs within it.
 
-    A series' own delay vectors meet inside its array, so cost is that of the series' length squared and nothing is joined.
+    Each series is one array in an Arrow batch and its distances are one numpy matrix, so
+    cost and memory are those of the series' length squared and nothing is joined.
     """
-    z = to_arrays(zscore(series).withColumnRenamed("z", "v"))
-    x = F.col("x")
-    at = lambda i, k: F.element_at(x, (i + k * lag + 1).cast("int"))
-    dist = lambda i, j: sum(((at(i, k) - at(j, k)) * (at(i, k) - at(j, k)) for k in range(3)), F.lit(0.0))
-    last = F.size(x) - 2 * lag - 1
-    rows = z.filter(F.size(x) > 2 * lag + 1).select("id", "x", last.alias("last")).select("id", "x", "last", F.explode(F.sequence(F.lit(0), F.col("last") - 1)).alias("i"))
-    pairs = rows.select("id", F.explode(F.transform(F.sequence(F.col("i") + 1, F.col("last")), lambda j: dist(F.col("i"), j))).alias("d"))
-    eps = pairs.groupBy("id").agg(F.percentile("d", quantile).alias("eps"), F.count("*").alias("n"))
-    return pairs.join(eps, "id").groupBy("id", "eps", "n").agg(F.sum((F.col("d") <= F.col("eps")).cast("long")).alias("hits")).select("id", "eps", (F.col("hits") / F.col("n")).alias("rate"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column("id"), batch.column("x").to_pylist()):
+                if (got := _delay_distances(x, lag, quantile)) is not None:
+                    yield pa.RecordBatch.from_pydict({"id": pa.array([i.as_py()], batch.column("id").type), "eps": [got[1]], "rate": [float((got[2] <= got[1]).mean())]})
+
+    kind = series.schema["id"].dataType.simpleString()
+    return to_arrays(series).select("id", "x").mapInArrow(run, f"id {kind}, eps double, rate double")
 
 
 # ---- gates, audits and spectra as the reference surveys them ----------------------------------------------
@@ -437,24 +455,16 @@ def recurrence_blocks(series: DataFrame, blocks: int, lag: int = 1, quantile: fl
     series is one array in an Arrow batch; its distances are one numpy matrix.
     """
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, xs = batch.column("id"), batch.column("x").to_pylist()
-            for i, x in enumerate(xs):
-                z = np.asarray(x, float)
-                sd = z.std()
-                z = (z - z.mean()) / (sd if sd > 0 else 1.0)
-                m = len(z) - 2 * lag
-                if m < 2:
+            for i, x in zip(batch.column("id"), batch.column("x").to_pylist()):
+                if (got := _delay_distances(x, lag, quantile)) is None:
                     continue
-                e = np.stack([z[k * lag : k * lag + m] for k in range(3)], 1)
-                d = ((e[:, None] - e[None]) ** 2).sum(2)
-                up = np.triu_indices(m, 1)
-                eps = np.quantile(d[up], quantile)
-                u, v = np.nonzero(np.triu(d <= eps))
+                u, v = np.nonzero(np.triu(got[0] <= got[1]))
+                m = len(got[0])
                 size = max(1, -(-m // blocks))
                 key, n = np.unique(u // size * (m + 1) + v // size, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"id": pa.array([ids[i].as_py()] * len(n), ids.type), "a": pa.array(key // (m + 1)), "b": pa.array(key % (m + 1)), "n": pa.array(n.astype(np.int64))})
+                yield pa.RecordBatch.from_pydict({"id": pa.array([i.as_py()] * len(n), batch.column("id").type), "a": pa.array(key // (m + 1)), "b": pa.array(key % (m + 1)), "n": pa.array(n.astype(np.int64))})
 
     kind = series.schema["id"].dataType.simpleString()
     return to_arrays(series).select("id", "x").mapInArrow(run, f"id {kind}, a long, b long, n long")
@@ -466,12 +476,11 @@ def decimate(series: DataFrame, k: int, order: int = 8) -> DataFrame:
 
     low = butterworth(order, None, 0.4 / k)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, xs = batch.column("id"), batch.column("x").to_pylist()
-            for i, x in enumerate(xs):
+            for i, x in zip(batch.column("id"), batch.column("x").to_pylist()):
                 y = low(np.asarray(x, float))[::k]
-                yield pa.RecordBatch.from_pydict({"id": pa.array([ids[i].as_py()] * len(y), ids.type), "t": pa.array(np.arange(len(y))), "v": pa.array(y)})
+                yield pa.RecordBatch.from_pydict({"id": pa.array([i.as_py()] * len(y), batch.column("id").type), "t": pa.array(np.arange(len(y))), "v": pa.array(y)})
 
     kind = series.schema["id"].dataType.simpleString()
     return to_arrays(series).select("id", "x").mapInArrow(run, f"id {kind}, t long, v double")

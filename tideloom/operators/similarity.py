@@ -40,8 +40,8 @@ def _blocks(features: DataFrame) -> tuple[DataFrame, int]:
 def nearest(queries: DataFrame, points: DataFrame, k: int, other_group: bool = False) -> DataFrame:
     """(id, rank, other, d): the k nearest points of each query by Euclidean distance, itself excluded, ties to the smaller id.
 
-    Both sides are cut into blocks of bounded size; every pair of blocks is one numpy product
-    that emits k rows a query, and the k best of all blocks are kept. With other_group only
+    Both sides are cut into blocks of bounded size; every pair of blocks is a numpy table of
+    distances that emits k rows a query, and the k best of all blocks are kept. With other_group only
     points of another group count.
     """
     left, _ = _blocks(queries)
@@ -52,12 +52,17 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, other_group: bool = F
         one, two = group.column("left")[0].as_py(), group.column("rows")[0].as_py()
         a, b = (np.array([r["f"] for r in side], float) for side in (one, two))
         ids, groups = np.array([r["id"] for r in two]), np.array([r["grp"] for r in two])
+        own, own_groups = np.array([r["id"] for r in one]), np.array([r["grp"] for r in one])
         out: list[tuple[int, int, float]] = []
-        for row, x in zip(one, a):
-            d = np.sqrt(((b - x) ** 2).sum(1))
-            ok = np.flatnonzero((ids != row["id"]) & ((groups != row["grp"]) if other_group else True))
-            for i in ok[np.lexsort((ids[ok], d[ok]))[:k]]:
-                out.append((row["id"], int(ids[i]), float(d[i])))
+        for lo in range(0, len(own), 32):
+            d = np.sqrt(((a[lo : lo + 32, None] - b[None]) ** 2).sum(2))
+            d[ids == own[lo : lo + 32, None]] = np.inf
+            if other_group:
+                d[groups == own_groups[lo : lo + 32, None]] = np.inf
+            last = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            for row, x, most in zip(own[lo : lo + 32].tolist(), d, last):
+                near = np.flatnonzero((x <= most) & np.isfinite(x))
+                out += [(row, int(ids[i]), float(x[i])) for i in near[np.lexsort((ids[near], x[near]))[:k]]]
         return pa.table({"id": pa.array([o[0] for o in out], pa.int64()), "other": pa.array([o[1] for o in out], pa.int64()), "d": pa.array([o[2] for o in out], pa.float64())})
 
     found = pairs.groupBy("lb", "b").applyInArrow(run, "id long, other long, d double")
@@ -90,7 +95,7 @@ def duplicate_pairs(features: DataFrame, share: float = 0.15, scale: float = 10.
     """(a, b, d): pairs within a group, of three members or more, nearer than `share` of the group's median distance.
 
     Features are centred on the median, divided by the range of quartiles and held within
-    `scale`. Groups are families of bounded size; members meet in blocks.
+    `scale`. Groups are families, which a quota bounds; all pairs of a group meet.
     """
     wide = features.select("id", "grp", F.posexplode("f").alias("j", "v"))
     z = F.greatest(F.least((F.col("v") - F.col("med")) / F.col("iqr"), F.lit(scale)), F.lit(-scale))

@@ -164,3 +164,45 @@ def _(spark, d):
 @query("previews", f"WITH {META}, f AS (SELECT cls, family, min(id) AS ord FROM meta GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY ord) - 1 AS pos, greatest(1, floor(count(*) OVER (PARTITION BY cls) / 3)) AS step FROM f) SELECT cls, family FROM o WHERE pos % step = 0 AND pos / step < 3")
 def _(spark, d):
     return review.previews(series_meta(spark, d).groupBy("cls", "family").agg(F.min("id").alias("ord")))
+
+
+# ---- generators ---------------------------------------------------------------------------------------------
+
+
+def _declared(profile: str) -> str:
+    """Every family of a profile with its quota and no series that breaks a rule."""
+    from tideloom.generators import registry
+
+    rows = ", ".join(f"('{g.cls}', '{g.key}', {g.quota[profile]}, 0, 0, 0, 0)" for g in registry.load().values() if g.quota[profile])
+    return f"SELECT cls, family, CAST(n AS BIGINT) AS n, CAST(a AS BIGINT) AS n_failed, CAST(b AS BIGINT) AS n_wrong_values, CAST(c AS BIGINT) AS n_mean_drift, CAST(d AS BIGINT) AS n_variance_drift FROM (VALUES {rows}) AS v(cls, family, n, a, b, c, d)"
+
+
+def breaches(spark, profile: str, classes: list[str] | None = None):
+    """Generates all series of a profile (or of some classes) and counts, by family, those that break the profile's rules, in DataFrame functions."""
+    from tideloom.generators import tables
+
+    made = tables.generate(tables.selection(spark, profile, classes), profile=profile)
+    strict = F.lit(profile == "stationary1000")
+    values = F.array_distinct(F.transform("x", lambda v: v))
+    odd = F.exists("x", lambda v: F.isnan(v) | (F.abs(v) > 1e12)) | (F.size("x") != 1000) | (F.size(values) < F.when(F.col("discrete_valued") == "yes", 2).otherwise(F.when(strict, 100).otherwise(10))) | (strict & (F.col("discrete_valued") == "yes"))
+    windows = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda w: F.slice("x", w * 200 + 1, 200))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    sd = lambda a: F.sqrt(mean(F.transform(a, lambda v: (v - mean(a)) * (v - mean(a)))))
+    stats = made.select("cls", "family", "error", "deterministic", F.col("error").isNull().alias("made"), odd.alias("odd"), sd(F.col("x")).alias("sd"), F.transform(windows, mean).alias("m"), F.transform(windows, sd).alias("s"), (F.col("stationary") != "no").alias("settled"), ((F.col("bursty") == "yes") | (F.col("event_like") == "yes")).alias("exempt"))
+    tight = F.col("cls").isin("F", "G", "H", "L") & F.col("deterministic").isin("yes", "partly")
+    held = strict & F.col("made") & F.col("settled")
+    wild = (sd(F.col("s")) > F.when(tight, 0.3).otherwise(0.5) * F.col("sd")) | (F.pow(F.array_max("s"), 2) > F.when(tight, 6.0).otherwise(20.0) * F.greatest(F.pow(F.array_min("s"), 2), F.lit(1e-12)))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return stats.groupBy("cls", "family").agg(F.count("*").alias("n"), count(~F.col("made")).alias("n_failed"), count(F.col("made") & F.col("odd")).alias("n_wrong_values"), count(held & (sd(F.col("m")) > 0.5 * F.col("sd"))).alias("n_mean_drift"), count(held & ~F.col("exempt") & wild).alias("n_variance_drift"))
+
+
+@query("profile_stationary1000", _declared("stationary1000"))
+def _(spark, d):
+    """All series of the stationary profile, held against its quotas and gates."""
+    return breaches(spark, "stationary1000")
+
+
+@query("profile_full", _declared("full"))
+def _(spark, d):
+    """All series of the full profile, held against its quotas and the validity gate."""
+    return breaches(spark, "full")
