@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tideloom.llm.common import small_batches, table, vocabulary
-from tideloom.llm.textarrays import Texts, mix, slices
-from tideloom.llm.wordtable import ragged, word_table
+from tideloom.llm.textarrays import Texts, mix, ragged, slices, span_hashes
+from tideloom.llm.wordtable import distinct_words, word_table
 
 #: Scripts by the UTF-8 lead bytes of their letters.
 SCRIPT_LEADS = {
@@ -90,7 +90,7 @@ def base_counts(texts: Texts, hashes: np.ndarray) -> dict[str, np.ndarray]:
     words = np.searchsorted(texts.starts, end) - np.searchsorted(texts.starts, begin)
     begin, end = begin[words > 0], end[words > 0]
     line_doc = np.searchsorted(texts.off, begin, "right") - 1
-    first, _, _ = _group_counts(line_doc, texts.span_hashes(begin, end))
+    first, _, _ = _group_counts(line_doc, span_hashes(texts.buf, begin, end))
     out["n_dup_lines"] = texts.per_text(line_doc) - texts.per_text(line_doc[first])
     # words inside a three-word window that the text has twice or more
     at, window = texts.windows(hashes, 3)
@@ -132,13 +132,14 @@ def token_metrics(texts: Texts, hashes: np.ndarray, piece_path: str, byte_path:
     """Fertility of each text under both vocabularies; every word is encoded on its own. NaN for texts without words."""
     pieces, ranks = word_table(piece_path), word_table(byte_path)
     chars = texts.per_text(texts.doc, texts.chars())
-    start, count = pieces.lookup(texts, hashes)
+    words = distinct_words(hashes)
+    start, count = pieces.lookup(texts, words)
     ids = pieces.ids[ragged(start, count)]
     doc = np.repeat(texts.doc, count)
     n = texts.per_text(doc)
     fallback = texts.per_text(doc[(ids >= 3) & (ids < 259)])  # the 256 byte pieces follow the three control pieces
     entropy = _entropies(doc, ids, n)
-    _, byte_count = ranks.lookup(texts, hashes)
+    _, byte_count = ranks.lookup(texts, words)
     with np.errstate(divide="ignore", invalid="ignore"):
         return {
             "piece_chars": chars / n,

@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tideloom.llm.common import small_batches, table, vocabulary
-from tideloom.llm.textarrays import Texts, slices
-from tideloom.llm.wordtable import ragged, word_table
+from tideloom.llm.textarrays import Texts, ragged, slices
+from tideloom.llm.wordtable import distinct_words, word_table
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -97,7 +97,7 @@ def document_ids(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> I
     for batch in batches:
         for part in slices(batch):
             texts = Texts(part.column("text"))
-            start, count = words.lookup(texts, texts.hashes())
+            start, count = words.lookup(texts, distinct_words(texts.hashes()))
             flat = words.ids[ragged(start, count)]
             ends = np.r_[0, np.cumsum(count)][texts.first]
             for i, doc_id in enumerate(part.column("doc_id").to_pylist()):

@@ -9,8 +9,8 @@ The index is a log of immutable runs, each a table bucketed and sorted by finger
 A new batch of documents becomes a run of its own, which is merge-joined with the older
 runs bucket by bucket, without a shuffle. Only windows whose fingerprint the join finds
 in two documents are verified: both documents' texts are read again from the document
-store and their whole windows compared through two independent 64-bit hashes of all
-their words. Runs are compacted into one when there are ``fanout`` of them.
+store and their whole windows compared through two 64-bit hashes of all their words, which
+share neither the word hash of the fingerprints nor each other's. Runs are compacted into one when there are ``fanout`` of them.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm.common import shared_dir, small_batches, stored, table
-from tideloom.llm.textarrays import Texts, mix, run_hash, slices
-from tideloom.llm.wordtable import ragged
+from tideloom.llm.common import discard, remove, shared_dir, small_batches, stored, table
+from tideloom.llm.textarrays import Texts, mix, ragged, slices, window_hashes
 
 WIDTH, GRAM = 50, 12
-_BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9 | 1)
+#: Seeds of the fingerprint, and of the word and window hashes of the two verifying keys.
+_SEEDS = (0, 0x51ED270B, 0xC2B2AE3D)
 
 
 def fingerprints(texts: Texts, hashes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,21 +37,19 @@ def fingerprints(texts: Texts, hashes: np.ndarray, width: int, gram: int) -> tup
     n = len(hashes)
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n - gram + 1)
-    low = run_hash(hashes, at, at + gram)
+    low = window_hashes(hashes, gram, _SEEDS[0])
     span, have = width - gram + 1, 1
     while have < span:
         step = min(have, span - have)
         low = np.minimum(low[: len(low) - step], low[step:])
         have += step
-    at = at[: n - width + 1]
-    inside = texts.doc[at] == texts.doc[at + width - 1]
-    return at[inside], low[: n - width + 1][inside]
+    inside = np.flatnonzero(texts.doc[: n - width + 1] == texts.doc[width - 1 :])
+    return inside, low[inside]
 
 
-def window_keys(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the windows' words."""
-    return run_hash(hashes, at, at + width, _BASES[0]), run_hash(mix(hashes + np.uint64(0x51ED270B)), at, at + width, _BASES[1])
+def window_keys(texts: Texts, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """Two independent hashes of the windows that start at these words, each from word hashes of its own."""
+    return [window_hashes(texts.hashes(seed), width, seed)[at] if len(at) else np.zeros(0, np.uint64) for seed in _SEEDS[1:]]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -94,7 +92,7 @@ def _windows(anchored: DataFrame, width: int, gram: int) -> DataFrame:
                 own = mix(fp + mix(texts.doc[at].astype(np.uint64)))
                 found = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
                 at = at[keys[found] == own] if len(keys) else at[:0]
-                w1, w2 = window_keys(hashes, at, width)
+                w1, w2 = window_keys(texts, at, width)
                 rows = pa.array(texts.doc[at])
                 place = pa.array((at - texts.first[texts.doc[at]]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), part.column("row_id").take(rows), part.column("owner").take(rows), place], ["w1", "w2", "row_id", "owner", "at"])
@@ -119,17 +117,33 @@ class FingerprintLog:
 
     def bucketed(self, df: DataFrame, key: str) -> DataFrame:
         """df as a table in `buckets` files, each sorted by the key."""
-        name = f"run_{uuid.uuid4().hex}"
+        name, path = f"run_{uuid.uuid4().hex}", shared_dir(self.spark)
         rows = df.repartition(self.buckets, key)
-        rows.write.bucketBy(self.buckets, key).sortBy(key).option("path", shared_dir(self.spark)).option("compression", "zstd").saveAsTable(name)
-        return self.spark.table(name)
+        rows.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
+        out = self.spark.table(name)
+        out._run = name, path
+        return out
+
+    def drop(self, runs: list[DataFrame]) -> None:
+        """Deletes runs that nothing reads any more."""
+        for run in runs:
+            name, path = run._run
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
 
     def compact(self) -> None:
         """Merges all runs into one."""
         both = self.runs[0]
         for run in self.runs[1:]:
             both = both.unionByName(run)
-        self.runs = [self.bucketed(both.groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high")), "fp")]
+        old, self.runs = self.runs, [self.bucketed(both.groupBy("fp").agg(F.min("low").alias("low"), F.max("high").alias("high")), "fp")]
+        self.drop(old)
+
+    def close(self) -> None:
+        """Deletes runs and postings; the log takes no further batch."""
+        self.drop(self.runs)
+        discard(*self.postings)
+        self.runs, self.postings = [], []
 
     def add(self, docs: DataFrame) -> DataFrame:
         """docs: row_id, owner, text, bucketed by row_id. Returns (row_id, at) of repeated windows, stored."""
@@ -155,6 +169,7 @@ class FingerprintLog:
         least = docs.agg(F.min("owner")).first()[0]
         mine = windows if len(hits) == 1 or least is None else windows.filter(F.col("owner") >= least)
         found = stored(mine.join(first.drop("high").hint("merge"), ["w1", "w2"]).filter("low < owner").select("row_id", "at"))
+        discard(shared, windows, first)
         self.runs.append(run)
         if len(self.runs) >= self.fanout:
             self.compact()
@@ -175,13 +190,8 @@ def _kept(part: pa.RecordBatch, width: int, with_text: bool) -> dict[str, pa.Arr
     whole = part.column("copy").to_numpy(zero_copy_only=False) & (texts.counts >= width)
     gone |= whole[texts.doc]
     left = np.flatnonzero(~gone)
-    n = texts.ends[left] - texts.starts[left] + 1
-    spaced = np.r_[texts.buf, np.uint8(32)][ragged(texts.starts[left], n)]
-    ends = np.cumsum(n)
-    spaced[ends - 1] = 32
-    bounds = np.r_[0, ends][np.searchsorted(left, texts.first)]
-    view = memoryview(np.ascontiguousarray(spaced))
-    sha = [hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    view, begin, end = texts.spaced(left)
+    sha = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(begin, end)]
     out = {"n_words": pa.array(texts.counts.astype(np.int64)), "n_removed": pa.array(texts.per_text(texts.doc[gone]).astype(np.int64)), "kept_sha256": pa.array(sha, pa.string())}
     if with_text:  # a removed word goes with the white space behind it
         cut = np.zeros(len(texts.buf) + 1, np.int64)
@@ -199,22 +209,34 @@ def _kept(part: pa.RecordBatch, width: int, with_text: bool) -> dict[str, pa.Arr
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 2, with_text: bool = True, columns: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 2, with_text: bool = True) -> DataFrame:
     """Removes every word covered by a window that also starts in a document with a smaller doc_id.
 
-    docs: doc_id, text and any other columns. The rows enter the index in `batches` batches
+    docs: doc_id and text (others are ignored). The rows enter the index in `batches` batches
     of rising doc_id; the result does not depend on their number. Windows are judged on the
-    input texts. Returns `columns` of docs (default: doc_id) with n_words, n_removed,
-    kept_sha256 (words left, joined by one space) and, with_text, kept_text. Rows without a
-    doc_id are never cut and cut no others; rows with equal doc_id do not cut each other;
-    null and empty texts have no words; an empty table gives no rows.
+    input texts. Returns doc_id, n_words, n_removed, kept_sha256 (words left, joined by one
+    space) and, with_text, kept_text. Rows without a doc_id are never cut and cut no others;
+    rows with equal doc_id do not cut each other; null and empty texts have no words; an
+    empty table gives no rows.
     """
+    out = _cut(docs, [], width, gram, batches, with_text)
+    return out.select(F.col("owner").alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
+
+
+def cut_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 2) -> DataFrame:
+    """The rows and columns of docs with the text that remove_repeats leaves, and n_chars, if there is one, its length."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = _cut(docs, rest, width, gram, batches, True)
+    new = {"doc_id": F.col("owner"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*(new.get(c, F.col(f"other.`{c}`")).alias(c) for c in docs.columns))
+
+
+def _cut(docs: DataFrame, rest: list[str], width: int, gram: int, batches: int, with_text: bool) -> DataFrame:
+    """owner, other (a struct of the columns `rest`), n_words, n_removed, kept_sha256 and, with_text, kept_text of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    columns = ["doc_id"] if columns is None else columns
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     log = FingerprintLog(spark, buckets, width, gram)
-    rest = [c for c in columns if c not in ("text", "doc_id")]
     # the document store: rows numbered, bucketed by number, other columns in a struct so that no name clashes
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").alias("owner"), "text", F.struct(*rest, F.lit(0).alias("_")).alias("other"))
     store = log.bucketed(numbered, "row_id")
@@ -222,6 +244,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
     sums = stored(store.filter("owner IS NOT NULL").select("row_id", "owner", F.sha2("text", 256).alias("sum")))
     first = stored(sums.groupBy("sum").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).filter("first < last").drop("last"))
     copies = stored(sums.join(first.hint("merge"), "sum").filter("first < owner").select("row_id", F.lit(True).alias("copy")))
+    discard(sums, first)
     ids = store.filter("owner IS NOT NULL").join(copies.hint("merge"), "row_id", "left_anti")
     cuts = ids.approxQuantile("owner", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     bounds = [None, *sorted({int(c) for c in cuts}), None]
@@ -234,6 +257,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
             batch = batch.filter(F.col("owner") <= high)
         new = log.add(batch)
         found = new if found is None else found.unionByName(new)
+    log.close()
     ats = found.groupBy("row_id").agg(F.collect_list("at").alias("ats"))
     joined = store.join(ats.hint("merge"), "row_id", "left").join(copies.hint("merge"), "row_id", "left").select("owner", "text", "other", F.coalesce("ats", F.array().cast("array<int>")).alias("ats"), F.coalesce("copy", F.lit(False)).alias("copy"))
     schema = "owner long, other " + joined.schema["other"].dataType.simpleString() + ", n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
@@ -243,9 +267,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
             for part in slices(batch):
                 yield pa.RecordBatch.from_pydict({"owner": part.column("owner"), "other": part.column("other"), **_kept(part, width, with_text)})
 
-    out = joined.mapInArrow(cut, schema)
-    own = [F.col("owner").alias("doc_id") if c == "doc_id" else F.col(f"other.`{c}`").alias(c) for c in columns if c != "text"]
-    return out.select(*own, "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
+    return joined.mapInArrow(cut, schema)
 
 
 def op5_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 A batch of texts is one byte buffer. Words are maximal runs of bytes outside
 ``[\\x20\\x09-\\x0D]`` (those bytes never occur inside a multi-byte UTF-8
-character, so byte runs and character runs agree). Every word gets a 64-bit
-hash from prefix sums of a polynomial over the buffer, so no Python object is
-made per word. Nulls are treated as empty texts by every function here.
+character, so byte runs and character runs agree). Hashes of 64 bits are made
+without a Python object per word: bytes are taken eight at a time, words of a
+window two halves at a time, and every step goes through a bijective mixer, so
+no sum or product cancels over structured texts (equal-length words of up to
+eight bytes never share a hash). Nulls are treated as empty texts by every
+function here.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,27 +20,15 @@ import pyarrow as pa
 
 #: Bytes of text handled at once by a Python worker; bounds memory, not results.
 CHUNK_BYTES = 2 << 20
+#: Longer spans of bytes are hashed one by one by the library.
+LONG_SPAN = 256
 
 _U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(0, 2**64, 256, dtype=_U)
-_P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+_ODD, _TURN = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _START = (np.arange(256) & 0xC0) != 0x80
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i < n, kept between calls."""
-    got = _powers.get(base)
-    if got is None or len(got[0]) < n:
-        size = max(n, 1 << 16)
-        inv = pow(base, -1, 2**64)
-        with np.errstate(over="ignore"):
-            up, down = (np.cumprod(np.r_[_U(1), np.full(size - 1, x, _U)], dtype=_U) for x in (base, inv))
-        got = _powers[base] = (up, down)
-    return got[0][:n], got[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,12 +42,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def run_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _P) -> np.ndarray:
-    """Hash of values[s:e] for each (s, e); equal content gives equal hashes wherever it stands."""
-    up, down = powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Concatenation of the ranges start .. start + count - 1."""
+    total = int(counts.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(counts)
+    return np.arange(total) + np.repeat(starts - (ends - counts), counts)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the bytes of each span; another seed gives independent hashes."""
+    size = ends - starts
+    out = mix(size.astype(_U) * _TURN + _U(seed))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    long = size > LONG_SPAN
+    left, at = np.flatnonzero(~long), 0
+    while len(left):
+        part = eight[starts[left] + at] & _MASK[np.minimum(size[left] - at, 8)]
+        out[left] = mix(out[left] ^ (part * _ODD + _U(at)))
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(long).tolist():
+        raw = hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(raw.digest(), "little")
+    return out
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _ODD + (b ^ (a >> _U(32))))
+
+
+def window_hashes(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hash of values[i : i + width] for every i; halves are put together, so a window costs about log2(width) steps."""
+    if len(values) < width:
+        return np.zeros(0, _U)
+    block, have, step = mix(values + _U(seed)), 0, 1
+    out = block
+    while True:
+        if width & step:
+            if have:
+                n = len(values) - have - step + 1
+                out = _pair(out[:n], block[have : have + n])
+            else:
+                out = block
+            have += step
+        if 2 * step > width:
+            return out
+        block = _pair(block[: len(block) - step], block[step:])
+        step *= 2
 
 
 class Texts:
@@ -85,12 +121,9 @@ class Texts:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        return self.span_hashes(self.starts, self.ends)
-
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of each byte span."""
-        return run_hash(_BYTE[self.buf], starts, ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """Hash of each word."""
+        return span_hashes(self.buf, self.starts, self.ends, seed)
 
     def chars(self) -> np.ndarray:
         """Code points in each word."""
@@ -98,19 +131,24 @@ class Texts:
         np.cumsum(_START[self.buf], out=sums[1:])
         return sums[self.ends] - sums[self.starts]
 
-    def windows(self, values: np.ndarray, width: int, base: int = _Q) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, values: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every run of `width` words inside one text."""
         if len(values) < width:
             return np.zeros(0, np.int64), np.zeros(0, _U)
-        at = np.arange(len(values) - width + 1)
-        at = at[self.doc[at] == self.doc[at + width - 1]]
-        return at, run_hash(values, at, at + width, base)
+        inside = np.flatnonzero(self.doc[: len(values) - width + 1] == self.doc[width - 1 :])
+        return inside, window_hashes(values, width, seed)[inside]
 
     def per_text(self, index: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(index, weights, minlength=self.n)[: self.n]
 
-    def word(self, i: int) -> bytes:
-        return self.buf[self.starts[i] : self.ends[i]].tobytes()
+    def spaced(self, which: np.ndarray) -> tuple[memoryview, list[int], list[int]]:
+        """(bytes, starts, ends): the words with these rising numbers, those of a text joined by one space."""
+        n = self.ends[which] - self.starts[which] + 1
+        flat = np.append(self.buf, np.uint8(32))[ragged(self.starts[which], n)]
+        ends = np.cumsum(n)
+        flat[ends - 1] = 32
+        bounds = np.append(0, ends)[np.searchsorted(which, self.first)]
+        return memoryview(np.ascontiguousarray(flat)), bounds[:-1].tolist(), np.maximum(bounds[:-1], bounds[1:] - 1).tolist()
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -8,25 +8,17 @@ seen in sorted arrays; the size is bounded and a full table starts anew.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 
-from tideloom.llm.textarrays import Texts
+from tideloom.llm.textarrays import Texts, ragged
 
 #: Distinct words kept by a worker (about 30 bytes each).
 MAX_WORDS = 2_000_000
 
 
-def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Concatenation of the ranges start .. start + count - 1."""
-    total = int(counts.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    ends = np.cumsum(counts)
-    return np.arange(total) + np.repeat(starts - (ends - counts), counts)
-
-
 #: Joins words; no word holds a line feed.
 _LF = 10
 
@@ -35,7 +27,7 @@ def joined(texts: Texts, which: np.ndarray) -> str:
     """The words with these numbers, joined by line feeds."""
     size = texts.ends[which] - texts.starts[which] + 1
     at = ragged(texts.starts[which], size)
-    out = np.r_[texts.buf, np.uint8(_LF)][at]
+    out = np.append(texts.buf, np.uint8(_LF))[at]
     out[np.cumsum(size) - 1] = _LF
     return out[:-1].tobytes().decode("utf-8", "replace")
 
@@ -100,11 +92,10 @@ class _Ranks:
 
 
 class WordTable:
-    """Maps word hashes to token ids; words are encoded by the vocabulary's own library."""
+    """Maps word hashes to token ids. `encode` gives the ids of words met for the first time, flat, and how many each has."""
 
-    def __init__(self, path: str):
-        kind = path.rpartition(".")[2]
-        self.encode = {"json": _Json, "model": _Piece, "tiktoken": _Ranks}[kind](path)
+    def __init__(self, encode: Callable[[Texts, np.ndarray], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
         self.clear()
 
     def clear(self) -> None:
@@ -127,9 +118,9 @@ class WordTable:
         at = np.searchsorted(self.keys, keys)
         self.keys, self.start, self.count = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.start, start), (self.count, count)))
 
-    def lookup(self, texts: Texts, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start in self.ids, count) of the ids of each word of `texts`."""
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    def lookup(self, texts: Texts, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(start in self.ids, count) of the ids of each word of `texts`; words: see distinct_words."""
+        distinct, first, back = words
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         inside = at < len(self.keys)
@@ -141,11 +132,17 @@ class WordTable:
         return self.start[at][back], self.count[at][back]
 
 
+def distinct_words(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes in order, a word with each, number of each word's hash)."""
+    return np.unique(hashes, return_index=True, return_inverse=True)
+
+
 _tables: dict[str, WordTable] = {}
 
 
 def word_table(path: str) -> WordTable:
     """This worker's table for a vocabulary file."""
     if path not in _tables:
-        _tables[path] = WordTable(path)
+        kind = path.rpartition(".")[2]
+        _tables[path] = WordTable({"json": _Json, "model": _Piece, "tiktoken": _Ranks}[kind](path))
     return _tables[path]
