@@ -20,17 +20,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tideloom.llm.common import small_batches, table, vocabulary
-from tideloom.llm.textarrays import slices
+from tideloom.llm.textarrays import Texts, ragged, slices, span_hashes
+from tideloom.llm.wordtable import WordTable, distinct_words
 
 BLANK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FAR = np.float64(-1e18)
-#: Units kept by a worker, and cells of a batch.
-MAX_UNITS, CELLS = 1_000_000, 400_000
+#: Pairs of pieces whose fit a worker keeps, and cells of a batch.
+MAX_PAIRS, CELLS = 1_000_000, 400_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -67,6 +67,35 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+class Units:
+    """The units of a slice of texts as spans of one byte buffer, in which a space stands for the blank sign.
+
+    ``signs`` tells which texts hold the blank sign itself, which does not come back.
+    """
+
+    def __init__(self, column: pa.Array, model: PieceModel):
+        texts = Texts(column)
+        buf, off = texts.buf, texts.off
+        sign = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x96) & (buf[2:] == 0x81))
+        self.signs = np.bincount(np.searchsorted(off, sign, "right") - 1, minlength=texts.n)[: texts.n] > 0
+        if len(sign):
+            buf = buf.copy()
+            buf[sign] = 32
+            buf = np.delete(buf, np.concatenate([sign + 1, sign + 2]))
+            off = off - 2 * np.searchsorted(sign, off)
+        if model.prefix:
+            full = np.diff(off) > 0
+            buf = np.insert(buf, off[:-1][full], 32)
+            off = off + np.append(0, np.cumsum(full))
+        blank, lone = buf == 32, model.lone[buf]
+        new = lone.copy()
+        new[1:] |= lone[:-1] | (blank[1:] & ~blank[:-1])
+        new[off[:-1][np.diff(off) > 0]] = True
+        self.buf, self.off, self.starts = buf, off, np.flatnonzero(new)
+        self.ends = np.append(self.starts[1:], len(buf))[: len(self.starts)]
+        self.first = np.searchsorted(self.starts, off)
+
+
 class PieceModel:
     """A model file's pieces and their segmentation of texts."""
 
@@ -101,11 +130,12 @@ class PieceModel:
         self.score = np.array(score)
         self.unknown_score = float(min((score[i] for _, i in self.rank.values()), default=0.0)) - 10.0
         alone = {c for p in usable if len(p) > 1 for c in p}
-        self.lone = {c for c in map(chr, range(33)) if c not in alone}
-        lone = "".join(map(regex.escape, sorted(self.lone)))
-        self.units = regex.compile(f"[{lone}]|{BLANK}*[^{BLANK}{lone}]+|{BLANK}+" if lone else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        self.lone = np.zeros(256, bool)
+        self.lone[[i for i in range(32) if chr(i) not in alone]] = True
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        size = np.array([len(r) for r in self.raw])
+        self.flat, self.size, self.begin = np.frombuffer(b"".join(self.raw), np.uint8), size, np.cumsum(size) - size
+        self.table = WordTable(self.learn)
 
     def merge(self, text: str) -> list[int]:
         """Merges of one short string: of all neighbours that form a piece the best-ranked first, the leftmost of equals."""
@@ -121,6 +151,8 @@ class PieceModel:
         """Whether merging both pieces' text gives the two pieces back; pieces beside no piece (-1) always fit."""
         key = (left << 32) | right
         distinct, back = np.unique(key, return_inverse=True)
+        if len(self.fits) + len(distinct) > MAX_PAIRS:
+            self.fits.clear()
         out = np.empty(len(distinct), bool)
         for i, pair in enumerate(distinct.tolist()):
             fit = self.fits.get(pair)
@@ -136,7 +168,7 @@ class PieceModel:
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).astype(np.uint64)
         prefix = _hash(codes)
         most = min(length, self.longest)
-        piece = np.full((n, length + 1, most + 1), -1)  # by end and length
+        piece = np.full((n, length + 1, most + 1), -1, np.int32)  # by end and length
         power = np.uint64(1)
         for size in range(1, most + 1):
             power = np.uint64(int(power) * int(_BASE) % 2**64)
@@ -149,7 +181,7 @@ class PieceModel:
         step = np.zeros((n, length + 1), np.int64)
         for end in range(1, length + 1):
             sizes = np.arange(1, min(end, most) + 1)
-            own = piece[:, end, sizes]
+            own = piece[:, end, sizes].astype(np.int64)
             before = best[:, end - sizes]
             if self.bpe:
                 gain = np.where((own >= 0) & (before > _FAR), 0.0, _FAR)
@@ -187,33 +219,39 @@ class PieceModel:
                 at += 1
         return tuple(out)
 
-    def learn(self, units: set[str]) -> None:
-        """Segments units that are not known yet, those of one length together."""
-        if len(self.known) + len(units) > MAX_UNITS:
-            self.known.clear()
-        by: dict[int, list[str]] = {}
-        for unit in units:
-            by.setdefault(len(unit), []).append(unit)
-        for length, words in by.items():
+    def learn(self, units: Units, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each) of units met for the first time; those of one length advance together."""
+        words = [units.buf[a:b].tobytes().decode().replace(" ", BLANK) for a, b in zip(units.starts[which].tolist(), units.ends[which].tolist())]
+        by: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by.setdefault(len(word), []).append(i)
+        found: list[tuple[int, ...]] = [()] * len(words)
+        for length, places in by.items():
             step = max(1, CELLS // (length * min(length, self.longest)))
-            for lo in range(0, len(words), step):
-                some = words[lo : lo + step]
-                for word, ids in zip(some, self._advance(some)):
-                    self.known[word] = ids if min(ids) >= 0 else self._bytes(word, ids)
-
-    def cut(self, text: str) -> list[str]:
-        text = text.replace(" ", BLANK)
-        return self.units.findall(BLANK + text if self.prefix and text else text)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        units = [self.cut(t) for t in texts]
-        known = self.known
-        new = {u for row in units for u in row if u not in known}
-        if len(known) + len(new) > MAX_UNITS:
-            new = {u for row in units for u in row}
-        if new:
-            self.learn(new)
-        return [np.fromiter(chain.from_iterable([known[u] for u in row]), np.int32) for row in units]
+            for lo in range(0, len(places), step):
+                some = places[lo : lo + step]
+                for i, ids in zip(some, self._advance([words[i] for i in some])):
+                    found[i] = ids if min(ids) >= 0 else self._bytes(words[i], ids)
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(count.sum())), count
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last end, whether each text's ids decode to it)."""
+        units = Units(column, self)
+        start, count = self.table.lookup(units, distinct_words(span_hashes(units.buf, units.starts, units.ends)))
+        ids = self.table.ids[ragged(start, count)]
+        bounds = np.append(0, np.cumsum(count))[units.first]
+        size = self.size[ids]
+        back = self.flat[ragged(self.begin[ids], size)]
+        ends = np.append(0, np.cumsum(size))[bounds]
+        same = ~units.signs & (np.diff(ends) == np.diff(units.off))
+        if len(back) == len(units.buf):  # else some text differs in length, and texts are compared one by one
+            wrong = np.append(0, np.cumsum(back != units.buf))
+            same &= wrong[units.off[1:]] == wrong[units.off[:-1]]
+        else:
+            for i in np.flatnonzero(same).tolist():
+                same[i] = np.array_equal(back[ends[i] : ends[i + 1]], units.buf[units.off[i] : units.off[i + 1]])
+        return ids, bounds, same
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
@@ -247,17 +285,19 @@ def encode_pieces(docs: DataFrame, model: str, with_ids: bool = True) -> DataFra
         is_byte[list(pieces.byte.values())] = True
         for batch in batches:
             for part in slices(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = pieces.encode(texts)
+                ids, bounds, same = pieces.encode(part.column("text"))
+                ids = ids.astype("<u4")
+                places = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+                bytes_before = np.append(0, np.cumsum(is_byte[ids]))
                 columns = {
                     "doc_id": part.column("doc_id").cast(pa.int64()),
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "n_byte_tokens": pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                    "round_trip": pa.array([pieces.decode(x) == t for x, t in zip(ids, texts)]),
+                    "n_tokens": pa.array(np.diff(bounds)),
+                    "n_byte_tokens": pa.array(np.diff(bytes_before[bounds])),
+                    "ids_crc32": pa.array([zlib.crc32(ids[a:b]) for a, b in places], pa.int64()),
+                    "round_trip": pa.array(same),
                 }
                 if with_ids:
-                    columns["ids"] = pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if with_ids else "")
