@@ -158,11 +158,16 @@ def build_index(vectors: DataFrame, k: int, shard_points: int = SHARD_POINTS) ->
 def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """The k nearest points found for each query in all shards: query_id, rank, vec_id, score.
 
-    queries: vec_id, embedding. Blocks of queries meet every shard of their dimension.
+    queries: vec_id, embedding, of vectors that take part (see usable). Every shard of a
+    dimension gets each block of queries once; the join is by shard, so no key grows with
+    the number of shards. A vec_id with several vectors is found at the nearest of them. An
+    empty index or no queries give no rows.
     """
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     packed = queries.groupBy(F.size("embedding").alias("dim"), block.alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
+    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))  # a row a dimension
+    packed = packed.join(shards.hint("merge"), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
 
     def search(group: pa.Table) -> pa.Table:
         x, ids, graph, start = pickle.loads(group.column("index")[0].as_py())
@@ -176,12 +181,15 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
             found = found[:, : 2 * k + 2]
             exact = np.sqrt(((part[:, None, :] - x[np.maximum(found, 0)]) ** 2).sum(2))
             for i, query in enumerate(own[lo : lo + 256].tolist()):
-                hits = sorted((float(s), v) for s, p in zip(exact[i], found[i].tolist()) if p >= 0 for v in ids[p] if v != query)
-                out += [(query, v, s) for s, v in hits[:k]]
+                nearest_of: dict[int, float] = {}
+                for score, v in sorted((float(s), v) for s, p in zip(exact[i], found[i].tolist()) if p >= 0 for v in ids[p] if v != query):
+                    nearest_of.setdefault(v, score)
+                out += [(query, v, score) for v, score in list(nearest_of.items())[:k]]
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
-    met = index.join(packed.hint("merge"), "dim").select("dim", "shard", "block", "index", "queries")
+    met = index.join(packed.hint("merge"), ["dim", "shard"]).select("dim", "shard", "block", "index", "queries")
     hits = met.groupBy("dim", "shard", "block").applyInArrow(search, "query_id long, vec_id long, score double")
+    hits = hits.repartition("query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
