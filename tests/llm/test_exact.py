@@ -302,3 +302,24 @@ def test_pipeline_stages_on_awkward_documents(spark, sf):
     assert {r["doc_id"] for r in packed} == {i for i, _ in rows}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_fertility_bands_judge(spark):
+    """Each band rejects what it is for, and prose of each language passes; bands of the script stand in where the language has none."""
+    import base64
+
+    from tideloom.llm.fertility import fertility_rules
+
+    rng = random.Random(3)
+    noise = " ".join(base64.b64encode(rng.randbytes(9)).decode() for _ in range(120))
+    signs = " ".join("".join(chr(rng.randint(0x10400, 0x1044F)) for _ in range(6)) for _ in range(120))
+    greek = " ".join(rng.choice("η θάλασσα και ο ουρανός είναι πάντα γαλάζιος στα νησιά μας το καλοκαίρι όταν φυσά άνεμος πέτρα σπίτι δρόμος βουνό".split()) + rng.choice(["", "", "ς", "ν"]) for _ in range(90))
+    rows = [(1, prose(rng, 120), "en"), (2, noise, "en"), (3, noise, None), (4, signs, "de"), (5, "rain " * 200, "en"), (6, greek, "el"), (7, noise, "xx"), (8, prose(rng, 49), "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in fertility_rules(table, vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.tiktoken")).collect()}
+    assert {i for i, r in out.items() if r.kept} == {1, 6}
+    assert all("piece_chars" in out[i].failed_bands for i in (2, 3, 7)) and "byte_share" in out[4].failed_bands and "evenness" in out[5].failed_bands
+    assert out[8].base_failed and not out[8].failed_bands and out[6].script == "greek"
+    wide = {"latin": {}, "other": {}, "greek": {"piece_chars": (5.0, 6.0)}}
+    out = {r.doc_id: r.failed_bands for r in fertility_rules(table, vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.tiktoken"), wide).collect()}
+    assert out == {i: ["piece_chars"] if i == 6 else [] for i in out}

@@ -32,10 +32,10 @@ Bands = Mapping[str, Mapping[str, tuple[float, float]]]
 #: tokens, and evenness: token entropy relative to the most that as many tokens can have,
 #: averaged over windows of at most EVENNESS_WINDOW tokens that cover the whole text.
 DEFAULT_BANDS: Bands = {
-    "en": {"piece_chars": (1.92, 6.0), "byte_chars": (1.95, 6.5), "byte_share": (0.0, 0.05), "evenness": (0.45, 1.0)},
-    "de": {"piece_chars": (2.02, 6.0), "byte_chars": (1.84, 6.5), "byte_share": (0.0, 0.05), "evenness": (0.45, 1.0)},
-    "fr": {"piece_chars": (1.72, 6.0), "byte_chars": (1.62, 6.5), "byte_share": (0.0, 0.05), "evenness": (0.45, 1.0)},
-    "es": {"piece_chars": (1.78, 6.0), "byte_chars": (1.62, 6.5), "byte_share": (0.0, 0.05), "evenness": (0.45, 1.0)},
+    "en": {"piece_chars": (1.8, 6.0), "byte_chars": (1.85, 6.5), "byte_share": (0.0, 0.05), "evenness": (0.45, 1.0)},
+    "de": {"piece_chars": (1.8, 6.0), "byte_chars": (1.7, 6.5), "byte_share": (0.0, 0.05), "evenness": (0.45, 1.0)},
+    "fr": {"piece_chars": (1.6, 6.0), "byte_chars": (1.55, 6.5), "byte_share": (0.0, 0.05), "evenness": (0.45, 1.0)},
+    "es": {"piece_chars": (1.65, 6.0), "byte_chars": (1.55, 6.5), "byte_share": (0.0, 0.05), "evenness": (0.45, 1.0)},
     "latin": {"piece_chars": (1.5, 6.5), "byte_chars": (1.3, 7.0), "byte_share": (0.0, 0.1), "evenness": (0.4, 1.0)},
     "greek": {"piece_chars": (0.8, 4.0), "byte_chars": (0.4, 4.0), "byte_share": (0.0, 0.3), "evenness": (0.35, 1.0)},
     "cyrillic": {"piece_chars": (1.2, 5.0), "byte_chars": (0.5, 5.0), "byte_share": (0.0, 0.2), "evenness": (0.4, 1.0)},
