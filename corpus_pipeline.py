@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideloom.llm.common import stored, table, vocabulary
+from tideloom.llm.common import discard, stored, table, vocabulary
 from tideloom.llm.fertility import filter_fertility
 from tideloom.llm.neardup import near_duplicates
 from tideloom.llm.packing import pack_sequences
@@ -55,6 +55,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        kept = stored(stage(spark, docs, sf_dir))
+        if i:  # the stage before is written, and nothing reads its input any more
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
