@@ -183,3 +183,21 @@ def test_build_of_the_stationary_profile(spark, tmp_path):
     rows = made.select("id", "keywords", "error").collect()
     assert len(rows) == 15 and all(r.error is None for r in rows)
     assert all(r.keywords.startswith(f"class-{r.id.split('_')[1]},{r.id.split('_')[2]},abstract") for r in rows)
+
+
+def test_export_of_everything(spark, tmp_path):
+    from tideloom.sources import files
+
+    made = tables.generate(tables.selection(spark, "1000x1000", ["A"], ["gaussian", "uniform"]), 60, "1000x1000")
+    lifecycle.export_all(made, str(tmp_path / "out"))
+    back = {r.id: r.x for r in files.read_npz(spark, str(tmp_path / "out/npz")).collect()}
+    assert back == {r.id: r.x for r in made.collect()} and len(back) == 7
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/metadata")).count() == 7
+    (tmp_path / "cards").mkdir()
+    (tmp_path / "cards/a.yaml").write_text("lorenz:\n  title: Lorenz\n  p: [1, 2]\nrossler:\n")
+    assert {r["key"]: r["fields"] for r in files.read_cards(spark, str(tmp_path / "cards")).collect()} == {"lorenz": {"title": "Lorenz", "p": "[1, 2]"}, "rossler": {}}
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    assert files.append_json(one, str(tmp_path / "log")).count() == 2
+    assert sorted(tuple(r) for r in files.append_json(spark.createDataFrame([("b", 9), ("c", 3)], "id string, v int"), str(tmp_path / "log")).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+    with pytest.raises(KeyError):
+        tables.selection(spark, "none")

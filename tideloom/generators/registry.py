@@ -11,6 +11,13 @@ from tideloom.generators.kit import Strata, stream
 
 PROFILES = ("full", "stationary1000")
 CLASSES = "ABCDEFGHIJKLMN"
+#: Names under which a profile is also known.
+ALIASES = {"1000x1000": "stationary1000"}
+#: Series that each class of a profile shall have.
+DECLARED = {
+    "full": dict(A=30, B=76, C=46, D=74, E=100, F=81, G=150, H=41, I=72, J=58, K=82, L=40, M=40, N=110),
+    "stationary1000": dict(A=30, B=85, C=52, D=62, E=122, F=81, G=181, H=32, I=104, J=48, K=0, L=43, M=40, N=120),
+}
 #: Tag columns, their values, and the ground-truth numbers a series may carry.
 TAGS = (
     "stationary", "linear", "gaussian", "deterministic", "chaotic", "periodic", "quasiperiodic", "long_memory", "heavy_tailed", "multifractal",
@@ -40,6 +47,14 @@ class Generator:
 GENERATORS: dict[str, Generator] = {}
 
 
+def canonical(profile: str) -> str:
+    """A profile's own name; unknown ones raise KeyError."""
+    name = ALIASES.get(profile, profile)
+    if name not in PROFILES:
+        raise KeyError(profile)
+    return name
+
+
 def register(cls: str, key: str, full: int, stationary1000: int, /, **tags: str) -> Callable:
     """Registers a generator; unknown classes, tags or values and names in use raise."""
 
@@ -112,8 +127,7 @@ def generate(name: str, index: int, T: int = 1000, profile: str = "full", manual
 
     A pure function of its arguments: order, partitions and hosts do not matter.
     """
-    if profile not in PROFILES:
-        raise KeyError(profile)
+    profile = canonical(profile)
     made = load()[name]
     from tideloom.generators.reversible import time_reversible
 

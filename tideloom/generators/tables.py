@@ -36,8 +36,7 @@ def families(spark: SparkSession) -> DataFrame:
 
 def selection(spark: SparkSession, profile: str, classes: Sequence[str] | None = None, keys: Sequence[str] | None = None) -> DataFrame:
     """(cls, family, index, manual) of all series of a profile, restricted to classes and families."""
-    if profile not in registry.PROFILES:
-        raise KeyError(profile)
+    profile = registry.canonical(profile)
     chosen = families(spark).filter((F.col("profile") == profile) & (F.col("n") > 0))
     if classes is not None:
         chosen = chosen.filter(F.col("cls").isin(list(classes)))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.functions.columns import uniform
-from tideloom.generators import tables
+from tideloom.generators import registry, tables
 from tideloom.operators import corpus
+from tideloom.sources import files
 
 
 def build(spark: SparkSession, path: str, profile: str = "full", classes: Sequence[str] | None = None, families: Sequence[str] | None = None, length: int = 1000, refresh: str | None = None, flags: DataFrame | None = None, force: bool = False, keep_going: bool = False) -> DataFrame:
@@ -20,6 +21,7 @@ def build(spark: SparkSession, path: str, profile: str = "full", classes: Sequen
     for their bases lie in other families. flags: id and action (retry draws again under a new
     name, drop leaves out). A series that fails raises unless keep_going.
     """
+    profile = registry.canonical(profile)
     chosen = tables.selection(spark, profile, classes, families)
     sources = tables.families(spark).filter(F.col("profile") == profile).select("cls", "family", "source", F.col("n").alias("quota"))
     chosen = chosen.join(F.broadcast(sources), ["cls", "family"])
@@ -75,6 +77,23 @@ def export_csv(series: DataFrame, path: str) -> None:
     series.select(F.col("id").alias("Name"), F.col("keywords").alias("Keywords"), F.size("x").alias("Length")).write.mode("overwrite").option("header", True).csv(f"{path}/info")
 
 
+def export_all(series: DataFrame, path: str) -> None:
+    """Everything a reader may want below path: values and names as CSV, array files, metadata as CSV, records by class, the catalogue."""
+    export_csv(series, f"{path}/csv")
+    files.write_npz(series.select("id", "x"), f"{path}/npz")
+    plain = [c for c, kind in series.dtypes if not kind.startswith("array")]
+    series.select(plain).write.mode("overwrite").option("header", True).csv(f"{path}/metadata")
+    files.write_json_by_class(series.select(plain), f"{path}/records")
+    catalogue(series).write.mode("overwrite").json(f"{path}/catalogue")
+
+
+def quotas(spark: SparkSession, profile: str) -> DataFrame:
+    """(cls, registered, declared, gap) of a profile's classes."""
+    name = registry.canonical(profile)
+    have = tables.families(spark).filter(F.col("profile") == name).select("cls", F.col("n").cast("long").alias("n"))
+    return corpus.quota_report(have, registry.DECLARED[name])
+
+
 def catalogue(series: DataFrame) -> DataFrame:
     """(cls, families): each class's families with their number of series."""
     counts = series.groupBy("cls", "family").agg(F.count("*").alias("n"))

@@ -196,6 +196,28 @@ def breaches(spark, profile: str, classes: list[str] | None = None):
     return stats.groupBy("cls", "family").agg(F.count("*").alias("n"), count(~F.col("made")).alias("n_failed"), count(F.col("made") & F.col("odd")).alias("n_wrong_values"), count(held & (sd(F.col("m")) > 0.5 * F.col("sd"))).alias("n_mean_drift"), count(held & ~F.col("exempt") & wild).alias("n_variance_drift"))
 
 
+def _quotas(profile: str) -> str:
+    from tideloom.generators import registry
+
+    have = ", ".join(f"('{g.cls}', {g.quota[profile]})" for g in registry.load().values())
+    want = ", ".join(f"('{c}', {n})" for c, n in registry.DECLARED[profile].items())
+    return f"SELECT cls, CAST(coalesce(h, 0) AS BIGINT) AS registered, CAST(w AS BIGINT) AS declared, CAST(coalesce(h, 0) - w AS BIGINT) AS gap FROM (VALUES {want}) AS v(cls, w) LEFT JOIN (SELECT cls, sum(n) AS h FROM (VALUES {have}) AS u(cls, n) GROUP BY cls) USING (cls)"
+
+
+@query("quotas_full", _quotas("full"))
+def _(spark, d):
+    from tideloom.plans import lifecycle
+
+    return lifecycle.quotas(spark, "full")
+
+
+@query("quotas_stationary1000", _quotas("stationary1000"))
+def _(spark, d):
+    from tideloom.plans import lifecycle
+
+    return lifecycle.quotas(spark, "1000x1000")
+
+
 @query("profile_stationary1000", _declared("stationary1000"))
 def _(spark, d):
     """All series of the stationary profile, held against its quotas and gates."""

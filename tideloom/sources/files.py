@@ -38,14 +38,54 @@ def npz_bytes(series: DataFrame) -> DataFrame:
     return series.select("id", "x").mapInPandas(pack, "content binary").withColumn("part", F.spark_partition_id())
 
 
+def write_npz(series: DataFrame, path: str) -> None:
+    """One array file a partition of (id, x) below path, in whatever store it lies; the driver holds one file at a time."""
+    spark = series.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in npz_bytes(series).toLocalIterator():
+        out = store.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"series-{row.part:05d}.npz"), True)
+        out.write(bytearray(row.content))
+        out.close()
+
+
+def read_cards(spark: SparkSession, path: str) -> DataFrame:
+    """(key, fields) of YAML files that map keys to records: the fields as text by name, nested ones as JSON."""
+
+    def rows(batches):
+        import json
+
+        import pandas as pd
+
+        try:
+            import yaml
+        except ImportError as error:
+            raise RuntimeError("reading cards needs PyYAML") from error
+        for batch in batches:
+            out = [(str(k), json.dumps({str(f): v if isinstance(v, str) else json.dumps(v, sort_keys=True) for f, v in (card or {}).items()})) for content in batch["content"] for k, card in (yaml.safe_load(content) or {}).items()]
+            yield pd.DataFrame(out, columns=["key", "fields"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "key string, fields string").withColumn("fields", F.from_json("fields", "map<string,string>"))
+
+
+def append_json(records: DataFrame, path: str, key: str = "id") -> DataFrame:
+    """Appends records as JSON lines but for those whose key is there already; returns all that is then there."""
+    spark = records.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        records = pending(records, spark.read.schema(records.schema).json(path), key)
+    records.write.mode("append").json(path)
+    return spark.read.schema(records.schema).json(path)
+
+
 def read_long_csv(spark: SparkSession, path: str) -> DataFrame:
     """(id, t, v) with an explicit schema, never inferred."""
     return spark.read.schema("id string, t long, v double").option("header", True).csv(path)
 
 
 def write_series_csv(series: DataFrame, path: str) -> None:
-    """t,v lines, a folder for each series."""
-    series.select("id", "t", "v").write.mode("overwrite").partitionBy("id").option("header", True).csv(path)
+    """t,v lines, a folder for each series, as downloads need them; a corpus is better written whole, see lifecycle.export_csv."""
+    series.select("id", "t", "v").repartition("id").sortWithinPartitions("id", "t").write.mode("overwrite").partitionBy("id").option("header", True).csv(path)
 
 
 def write_json_by_class(records: DataFrame, path: str) -> None:
