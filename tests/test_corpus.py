@@ -188,7 +188,7 @@ def test_build_of_the_stationary_profile(spark, tmp_path):
 def test_export_of_everything(spark, tmp_path):
     from tideloom.sources import files
 
-    made = tables.generate(tables.selection(spark, "1000x1000", ["A"], ["gaussian", "uniform"]), 60, "1000x1000")
+    made = tables.generate(tables.selection(spark, "1000x1000", ["A"], ["gaussian", "uniform"]), 150, "1000x1000")
     lifecycle.export_all(made, str(tmp_path / "out"))
     back = {r.id: r.x for r in files.read_npz(spark, str(tmp_path / "out/npz")).collect()}
     assert back == {r.id: r.x for r in made.collect()} and len(back) == 7

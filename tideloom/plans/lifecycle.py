@@ -80,7 +80,7 @@ def export_csv(series: DataFrame, path: str) -> None:
 def export_all(series: DataFrame, path: str) -> None:
     """Everything a reader may want below path: values and names as CSV, array files, metadata as CSV, records by class, the catalogue."""
     export_csv(series, f"{path}/csv")
-    files.write_npz(series.select("id", "x"), f"{path}/npz")
+    files.write_npz(series.filter("x IS NOT NULL").select("id", "x"), f"{path}/npz")
     plain = [c for c, kind in series.dtypes if not kind.startswith("array")]
     series.select(plain).write.mode("overwrite").option("header", True).csv(f"{path}/metadata")
     files.write_json_by_class(series.select(plain), f"{path}/records")

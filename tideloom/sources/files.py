@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,29 +14,29 @@ def read_npz(spark: SparkSession, path: str, values: str = "X", ids: str = "ids"
     """(id, x) of array files below a path, one file a task: `values` is a matrix whose rows are named by `ids`."""
 
     def rows(batches):
-        import pandas as pd
-
         for batch in batches:
-            for content in batch["content"]:
+            for content in batch.column("content").to_pylist():
                 with np.load(io.BytesIO(content), allow_pickle=False) as file:
-                    yield pd.DataFrame({"id": [str(i) for i in file[ids]], "x": [r.tolist() for r in np.asarray(file[values], float)]})
+                    if len(names := [str(i) for i in file[ids]]):
+                        yield pa.RecordBatch.from_pydict({"id": pa.array(names), "x": pa.array([r.tolist() for r in np.asarray(file[values], float)], pa.list_(pa.float64()))})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "id string, x array<double>")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "id string, x array<double>")
 
 
 def npz_bytes(series: DataFrame) -> DataFrame:
-    """(part, content): the series of each partition as one array file's bytes."""
-    def pack(batches):
-        import pandas as pd
+    """(part, content): the series of each partition, all of one length, as one array file's bytes."""
 
-        whole = list(batches)
-        if whole:
-            frame = pd.concat(whole)
+    def pack(batches):
+        names, x = [], []
+        for batch in batches:
+            names += batch.column("id").to_pylist()
+            x += batch.column("x").to_pylist()
+        if names:
             out = io.BytesIO()
-            np.savez_compressed(out, X=np.array(frame["x"].tolist(), float), ids=np.array(frame["id"].tolist(), dtype=str))
-            yield pd.DataFrame({"content": [out.getvalue()]})
+            np.savez_compressed(out, X=np.array(x, float), ids=np.array(names, dtype=str))
+            yield pa.RecordBatch.from_pydict({"content": pa.array([out.getvalue()], pa.binary())})
 
-    return series.select("id", "x").mapInPandas(pack, "content binary").withColumn("part", F.spark_partition_id())
+    return series.select("id", "x").mapInArrow(pack, "content binary").withColumn("part", F.spark_partition_id())
 
 
 def write_npz(series: DataFrame, path: str) -> None:
