@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideloom.operators import review, similarity
 from tideloom.operators import series as S
-from tideloom.plans.catalogue import DAY, DFT, FE, META, SER, Z, _windows, query, r
+from tideloom.plans.catalogue import DAY, DFT, FE, META, ORACLE_SQL, SCREEN, SER, Z, _windows, query, r
 from tideloom.sources.bridge import features, read, series_day, series_meta, series_user
 
 STATE = "CASE WHEN id % 13 = 0 THEN 'no' ELSE 'yes' END AS stationary"
@@ -228,3 +228,34 @@ def _(spark, d):
 def _(spark, d):
     """All series of the full profile, held against its quotas and the validity gate."""
     return breaches(spark, "full")
+
+
+# ---- SQL of queries that the catalogue registers without ----------------------------------------------------
+
+_TWO_PI = repr(2 * math.pi)
+#: All twelve issues. A flat head needs over 15 steps in the first twentieth, that is 16 samples there.
+_FULL = f"""{SCREEN[: SCREEN.index("sc AS (SELECT")]} dc AS (SELECT id, t, v - avg(v) OVER (PARTITION BY id) AS z, count(*) OVER (PARTITION BY id) AS n FROM s), dw AS (SELECT id, n, t, z, unnest(range(1, CAST(floor(n / 2) AS BIGINT) + 1)) AS k FROM dc WHERE n >= 2),
+ dp AS (SELECT id, n, k, pow(sum(z * cos({_TWO_PI} * k * t / n)), 2) + pow(sum(z * sin({_TWO_PI} * k * t / n)), 2) AS power FROM dw GROUP BY ALL),
+ dq AS (SELECT id, n, k, sum(power) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near, sum(power) OVER (PARTITION BY id) AS total, row_number() OVER (PARTITION BY id ORDER BY round(power, 6) DESC, k) AS o FROM dp),
+ pe AS (SELECT id, k AS periods, CAST(round_even(n / k, 0) AS BIGINT) AS lag, near / total AS share FROM dq WHERE o = 1),
+ ag AS (SELECT a.id, sum(a.z * b.z) / max(e) AS again FROM dc a JOIN pe ON pe.id = a.id JOIN dc b ON b.id = a.id AND b.t = a.t + lag JOIN (SELECT id, sum(z * z) AS e FROM dc GROUP BY id) x ON x.id = a.id WHERE lag BETWEEN 2 AND 299 AND e > 0 GROUP BY a.id),
+ st AS (SELECT id, max(d) AS step, quantile_cont(d, 0.99) AS step99 FROM (SELECT id, abs(v - lag(v) OVER (PARTITION BY id ORDER BY t)) AS d FROM s) GROUP BY id),
+ hf AS (SELECT id, sum(flat::INT) AS run FROM (SELECT *, sum(CASE WHEN flat THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY t) AS g FROM (SELECT id, t, n, coalesce(abs(v - lag(v) OVER (PARTITION BY id ORDER BY t)) < 1e-6 * CASE WHEN sd = 0 THEN 1 ELSE sd END, false) AS flat FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n, stddev_pop(v) OVER (PARTITION BY id) AS sd FROM s)) WHERE t < floor(n / 20)) GROUP BY id, g), hd AS (SELECT id, max(run) AS head_run FROM hf GROUP BY id),
+ {FE}, fz AS (SELECT id, j, greatest(least((v - med) / iqr, 10), -10) AS z FROM w JOIN q USING (j)), fg AS (SELECT id, family AS grp, list(z ORDER BY j) AS f FROM fz JOIN meta USING (id) GROUP BY id, family),
+ fp AS (SELECT a.grp, a.id AS a, b.id AS b, list_distance(a.f, b.f) AS d FROM fg a JOIN fg b ON a.grp = b.grp AND a.id < b.id), fl2 AS (SELECT grp, 0.15 * median(d) AS m, count(*) AS n FROM fp GROUP BY grp), du AS (SELECT DISTINCT unnest([a, b]) AS id FROM fp JOIN fl2 USING (grp) WHERE n >= 3 AND d < m),
+ sc AS (SELECT al.id, family, tau > 6 OR coalesce(share > 0.3 AND periods < 35, false) AS slow, NOT (event_like = 'yes' OR bursty = 'yes') AND (sm > 0.35 OR ss > 0.35 OR vr > 8) AS drift, coalesce(abs(hm - mm) > md OR NOT (hs / md > 0.3 AND hs / md < 3), false) OR coalesce(head_run > 15, false) AS onset, coalesce(abs(tm - mm) > md OR NOT (tsd / md > 0.3 AND tsd / md < 3), false) AS ending,
+ run > 30 AND common / n <= 0.2 AS flat, (hi - lo) / greatest(q9 - q1, 1e-12) > 3 AS spiky, k < 200 OR common / n > 0.4 AS levels, event_like = 'yes' AND n_events < 25 AS few_events, coalesce(cls <> 'H' AND again > 0.95, false) AS periodic, coalesce(share > 0.8, false) AS sinusoid, coalesce(al.id % 6 = 0 AND step > 12 * greatest(step99, 1e-12), false) AS jumps, du.id IS NOT NULL AS duplicate
+ FROM al LEFT JOIN pe ON pe.id = al.id LEFT JOIN ag ON ag.id = al.id LEFT JOIN st ON st.id = al.id LEFT JOIN hd ON hd.id = al.id LEFT JOIN du ON du.id = al.id),
+ scr AS (SELECT *, CAST(slow::INT + drift::INT + onset::INT + ending::INT + flat::INT + spiky::INT + levels::INT + few_events::INT + periodic::INT + sinusoid::INT + jumps::INT + duplicate::INT AS BIGINT) AS n_issues FROM sc)"""
+ORACLE_SQL["screen_full"] = f"WITH {_FULL} SELECT * FROM scr"
+ORACLE_SQL["screen_full_summary"] = f"WITH {_FULL} SELECT family, count(*) AS series, CAST(sum((n_issues > 0)::INT) AS BIGINT) AS flagged, CAST(sum(n_issues) AS BIGINT) AS issues FROM scr GROUP BY family"
+
+
+def _families() -> str:
+    from tideloom.generators import registry
+
+    rows = ", ".join(f"('{g.cls}', '{g.key}', '{p}', {g.quota[p]})" for g in registry.load().values() for p in registry.PROFILES)
+    return f"SELECT cls, family, profile, CAST(n AS BIGINT) AS n FROM (VALUES {rows}) AS v(cls, family, profile, n)"
+
+
+ORACLE_SQL["families"] = _families()
