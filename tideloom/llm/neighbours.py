@@ -135,7 +135,8 @@ def build_index(vectors: DataFrame, k: int, shard_points: int = SHARD_POINTS) ->
     """(dim, shard, index): a graph over the distinct vectors of each shard, stored.
 
     vectors: vec_id, embedding (array of double). Equal vectors are one point with its k + 1
-    smallest vec_ids, which is all that a search for k neighbours can return of it.
+    smallest vec_ids, which is all that a search for k neighbours can return of it. The
+    vectors must take part (see usable); no vectors give an empty index.
     """
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     few = vectors.distinct().withColumn("rank", rank).filter(F.col("rank") <= k + 1)
@@ -166,8 +167,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     packed = queries.groupBy(F.size("embedding").alias("dim"), block.alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))  # a row a dimension
-    packed = packed.join(shards.hint("merge"), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))  # two whole numbers for each length that vectors have
+    packed = packed.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
 
     def search(group: pa.Table) -> pa.Table:
         x, ids, graph, start = pickle.loads(group.column("index")[0].as_py())

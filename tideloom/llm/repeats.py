@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.llm.common import discard, remove, shared_dir, small_batches, stored, table
-from tideloom.llm.textarrays import Texts, mix, ragged, slices, window_hashes
+from tideloom.llm.textarrays import Texts, mix, slices, window_hashes
 
 WIDTH, GRAM = 50, 12
 #: Seeds of the fingerprint, and of the word and window hashes of the two verifying keys.
