@@ -115,6 +115,61 @@ def test_near_duplicates_of_long_texts(spark):
     assert {r["doc_id"]: r["class_id"] for r in collect(near_duplicates(make(spark, rows)))} == brute_classes(rows)
 
 
+def test_near_duplicates_that_sketches_miss(spark):
+    """A hub of four shingles whose links lie in a group of over 256 texts; texts of which no sketch agrees."""
+    from tideloom.llm.neardup import CELL_TEXTS, FINE_ELL, near_duplicates
+
+    hub, size = "a b c d e f g h", 1000
+    assert size > CELL_TEXTS and len(hub.split()) - 4 < FINE_ELL
+    rows = [(i, f"{hub} x{i}") for i in range(size)] + [(size, hub)]
+    assert {r["class_id"] for r in collect(near_duplicates(make(spark, rows)))} == {0}
+    rng = random.Random(6)
+    rows = []
+    for n in (8, 9, 12, 20, 60, 150, 400):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                at = rng.randrange(len(w))
+                w[at : at + rng.choice([0, 1, 1 + n // 12])] = [f"x{rng.randint(0, 10**6)}"] * rng.choice([0, 1])
+            rows.append((len(rows), " ".join(w)))
+    for args in ({"count": 1, "ell": 40}, {"count": 1, "ell": 40, "threshold": 0.6}):
+        out = {r["doc_id"]: r["class_id"] for r in collect(near_duplicates(make(spark, rows), **args))}
+        assert out == brute_classes(rows, args.get("threshold", 0.8))
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_heads_and_parities_rule_out_no_similar_pair(threshold):
+    from tideloom.llm.neardup import heads, labels_of, parities, parity_distance, shingles
+    from tideloom.llm.textarrays import Texts
+
+    rng = random.Random(7)
+    texts = []
+    for n in (1, 5, 9, 30, 90, 400):
+        base = [f"w{rng.randint(0, n)}" for _ in range(n)]
+        for _ in range(12):
+            w = list(base)
+            for k in rng.sample(range(n), min(n, rng.choice([0, 1, 2, n // 10]))):
+                w[k] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(w[: n - rng.randint(0, n // 8)]))
+    value, doc = shingles(Texts(pa.array(texts)), 5)
+    label, n = labels_of(value, doc), np.bincount(doc)
+    data, size = parities(label, doc, n)
+    common, times = np.unique(label, return_counts=True)
+    head, most = heads(label, doc, n, common[times > 4], threshold)
+    head, sets = np.split(head, np.cumsum(most)[:-1]), np.split(label, np.cumsum(n)[:-1])
+    u, v = np.triu_indices(len(texts), 1)
+    far = parity_distance(data, np.cumsum(size) - size, size, u, v)
+    some = 0
+    for a, b, d in zip(u.tolist(), v.tolist(), far.tolist()):
+        both, either = len(np.intersect1d(sets[a], sets[b])), len(np.union1d(sets[a], sets[b]))
+        assert d <= either - both
+        if both >= threshold * either:
+            some += 1
+            assert len(np.intersect1d(head[a], head[b]))
+    assert some > 20
+
+
 def test_cells_join_what_pairs_join():
     """Links within cells, small and large and of two halves, connect the same texts as all pairs do."""
     from tideloom.llm.neardup import cell_links, similar

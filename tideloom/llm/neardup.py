@@ -11,6 +11,12 @@ still span several classes are compared in cells of bounded size, in which only
 different classes count: small groups as they are; texts of large ones are sketched anew
 with more shingles a sketch, which parts texts that share no more than a passage. A cell
 gives links that join its classes, at most one a text, and never lists its pairs.
+
+Sketches find a link with a probability. What they leave is found for certain: in one order
+of all labelled shingles, common ones last, two similar texts share one among the first
+n - ceil(threshold * n) + 1 of each (its head). Heads that meet in several classes are
+compared by length, place and the parities of their shingles, none of which rules out a
+similar pair, and the pairs left are aligned.
 """
 
 from __future__ import annotations
@@ -21,18 +27,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.llm.common import discard, small_batches, stored, table
 from tideloom.llm.components import components
-from tideloom.llm.textarrays import Texts, mix, slices
+from tideloom.llm.textarrays import Texts, mix, ragged, slices
 
 WORDS_PER_SHINGLE, THRESHOLD, SKETCHES, ELL = 5, 0.8, 24, 3
 #: Sketches, and shingles of each, of the texts of large groups.
 FINE_SKETCHES, FINE_ELL = 40, 6
 #: About as many texts, and shingles, make half a cell; a group of no more texts is small.
 CELL_TEXTS, CELL_SHINGLES = 256, 400_000
+#: One text in so many is read for common shingles, of which so many at most go last in the order of heads.
+HOT_SHARE, HOT_MOST = 16, 1 << 16
+#: Bytes of parities of a text, at most, and compared at once.
+PARITY_BYTES, PARITY_STEP = 1 << 12, 1 << 24
 #: Shingles that one step of the alignment holds.
 ALIGN_CELLS = 1 << 20
 _ODD, _MAX = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
@@ -307,13 +317,18 @@ def _open(rows: DataFrame) -> DataFrame:
     return sums.filter("low < high").groupBy("size", "shingles", "x", "y").agg(F.min("key").alias("key")).select("key", "size", "shingles")
 
 
-def _cells(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(members) of each cell: id, root, half, text. rows: key, id, root, size, shingles."""
-    parts = F.greatest(F.ceil(F.col("size") / CELL_TEXTS), F.ceil(F.col("shingles") / CELL_SHINGLES))
+def _dealt(rows: DataFrame, parts: Column, *more: str) -> DataFrame:
+    """(key, a, b, half, id, root, more) of the members of each cell, groups being in so many parts."""
     own = F.pmod(F.xxhash64("id"), F.col("parts"))
     # a group in several parts has a cell for every two of them and one for each alone
     dealt = rows.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("half"), "id", "root")
+    return dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("half"), "id", "root", *more)
+
+
+def _cells(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(members) of each cell: id, root, half, text. rows: key, id, root, size, shingles."""
+    parts = F.greatest(F.ceil(F.col("size") / CELL_TEXTS), F.ceil(F.col("shingles") / CELL_SHINGLES))
+    dealt = _dealt(rows, parts)
     return dealt.join(texts.hint("merge"), "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct("id", "root", "half", "text")).alias("members")).select("members")
 
 
@@ -345,6 +360,156 @@ def _linked(cells: DataFrame, k: int, threshold: float) -> DataFrame:
     return cells.mapInArrow(run, "u long, v long, ru long, rv long")
 
 
+def parities(label: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bytes of each text): the parity of each text's labels by their low bits, two bits a label or more.
+
+    Bits that differ are never more than labels that only one of two texts has.
+    """
+    size = np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) // 4, 8, PARITY_BYTES)
+    begin = np.cumsum(size) - size
+    bit = (label & (8 * size[doc] - 1).astype(np.uint64)).astype(np.int64) + 8 * begin[doc]
+    return np.packbits(np.bincount(bit, minlength=8 * int(size.sum())).astype(np.uint8) & 1, bitorder="little"), size
+
+
+def parity_distance(data: np.ndarray, begin: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Bits that differ in the parities data[begin : begin + size] of u[i] and v[i]; the longer are folded."""
+    out = np.zeros(len(u), np.int64)
+    shape = np.stack([size[u], size[v]])
+    for a, b in np.unique(shape, axis=1).T.tolist():
+        some = np.flatnonzero((shape[0] == a) & (shape[1] == b))
+        step = max(1, PARITY_STEP // max(a, b))
+        for lo in range(0, len(some), step):
+            part = some[lo : lo + step]
+            x, y = (np.lib.stride_tricks.sliding_window_view(data, w)[begin[t[part]]] for w, t in ((a, u), (b, v)))
+            x, y = (np.bitwise_xor.reduce(z.reshape(len(part), -1, min(a, b)), axis=1) for z in (x, y))
+            out[part] = np.bitwise_count((x ^ y).view(np.uint64)).sum(1)
+    return out
+
+
+def _common(docs: DataFrame, k: int) -> np.ndarray:
+    """Labels that stand in several texts of a sample, the rarest first: a hint of what is common, on which no result depends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                label, times = np.unique(labels_of(*shingles(Texts(part.column("text")), k)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(label.view(np.int64)), pa.array(times)], ["label", "times"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SHARE)) == 0).select("text").mapInArrow(run, "label long, times long")
+    top = some.groupBy("label").agg(F.sum("times").alias("times")).filter("times > 2").orderBy(F.desc("times"), "label").limit(HOT_MOST)
+    return np.array([r["label"] for r in top.collect()][::-1], np.int64).view(np.uint64)
+
+
+def heads(label: np.ndarray, doc: np.ndarray, n: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, labels of each text): those among which similar texts share one, in one order for all texts."""
+    by = np.argsort(common)
+    at = np.minimum(np.searchsorted(common, label, sorter=by), len(common) - 1)
+    last = np.where(common[by[at]] == label, by[at] + 1, 0) if len(common) else np.zeros(len(label), np.int64)
+    order = np.lexsort((label, last, doc))
+    size = np.minimum(n, n - np.ceil(threshold * n - 1e-8).astype(np.int64) + 1)
+    return label[order][ragged((np.cumsum(n) - n), size)], size
+
+
+def _heads(docs: DataFrame, k: int, threshold: float, common: np.ndarray) -> DataFrame:
+    """(id, n, parity, head) of every text with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = Texts(part.column("text"))
+                value, doc = shingles(texts, k)
+                label, n = labels_of(value, doc), np.bincount(doc, minlength=texts.n)[: texts.n]
+                data, size = parities(label, doc, n)
+                parity = pa.LargeBinaryArray.from_buffers(pa.large_binary(), texts.n, [None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(data)])
+                head, size = heads(label, doc, n, common, threshold)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(head.view(np.int64)))
+                out = pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array(n.astype(np.int64)), parity.cast(pa.binary()), lists], ["id", "n", "parity", "head"])
+                yield out.filter(pa.array(n > 0))
+
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, parity binary, head array<long>")
+
+
+def head_pairs(cell: np.ndarray, half: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(u, v) of one cell and different roots that may be similar, a few at a time; texts of a cell stand together.
+
+    place: of the cell's label in the order of the text's labels. Where it is the first that
+    two texts share, they share no more than follow it; some cell has the first.
+    """
+    crossed = np.zeros(int(cell.max(initial=-1)) + 1, bool)
+    crossed[cell[half > 0]] = True
+    for step in range(1, len(cell)):
+        u = np.flatnonzero(cell[step:] == cell[:-step])
+        if not len(u):
+            break
+        u = u[(root[u] != root[u + step]) & (~crossed[cell[u]] | (half[u] != half[u + step]))]
+        v = u + step
+        ok = enough_shared(np.minimum(n[u] - place[u], n[v] - place[v]), n[u], n[v], threshold)
+        yield u[ok], v[ok]
+
+
+def _parity_allows(column: pa.Array, n: np.ndarray, u: np.ndarray, v: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the parities of texts u[i] and v[i] leave room for enough shared shingles."""
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    return enough_shared((n[u] + n[v] - parity_distance(data, np.cumsum(size) - size, size, u, v)) // 2, n[u], n[v], threshold)
+
+
+def _head_pairs(cells: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): ids of texts in one cell that may be similar, by their parities too where the cells have them."""
+    parity = "parity" in cells.schema["members"].dataType.elementType.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("members")
+            flat = lists.flatten()
+            cell = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            ids, root, half, n, place = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "half", "n", "place"))
+            found = [np.zeros((2, 0), np.int64)]
+            for u, v in head_pairs(cell, half, root, n, place, threshold):
+                if parity and len(u):
+                    ok = _parity_allows(flat.field("parity"), n, u, v, threshold)
+                    u, v = u[ok], v[ok]
+                found.append(np.sort(np.stack([ids[u], ids[v]]), axis=0))
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
+
+    return cells.mapInArrow(run, "u long, v long").distinct()
+
+
+def _near_parity(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) that may be similar by their parities. texts: id, n, parity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = np.arange(batch.num_rows)
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("n", "m")])
+            ok = _parity_allows(pa.chunked_array([batch.column("parity"), batch.column("other")]), n, m, m + len(m), threshold)
+            yield batch.select(["u", "v"]).filter(pa.array(ok))
+
+    left = pairs.join(texts.select(F.col("id").alias("u"), "n", "parity").hint("merge"), "u")
+    both = left.join(texts.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("parity").alias("other")).hint("merge"), "v")
+    return both.mapInArrow(run, "u long, v long")
+
+
+def _left_over(docs: DataFrame, roots: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(u, v) that may be similar and have different roots, no similar one missing. docs: id, text; roots: id, root."""
+    common = _common(docs.withColumnRenamed("id", "doc_id"), k)
+    texts = stored(_heads(docs, k, threshold, common).join(roots.hint("merge"), "id"))
+    shared = texts.select("root", F.explode("head").alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+    several = stored(shared.filter("low < high").select("key", "size"))
+    rows = stored(texts.select("id", "root", "n", F.posexplode("head").alias("place", "key")).join(several.hint("merge"), "key"))
+    dealt = _dealt(rows, F.ceil(F.col("size") / CELL_TEXTS), "size", "n", "place")
+    members = ["id", "root", "half", "n", "place"]
+    # pairs of small groups are listed and then compared by parities; cells of large ones hold the parities and list what these leave
+    small = dealt.filter(F.col("size") <= CELL_TEXTS).groupBy("key", "a", "b").agg(F.collect_list(F.struct(*members)).alias("members"))
+    large = dealt.filter(F.col("size") > CELL_TEXTS).join(texts.select("id", "parity").hint("merge"), "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct(*members, "parity")).alias("members"))
+    listed = stored(_head_pairs(small.select("members"), threshold))
+    near = _near_parity(listed, texts.select("id", "n", "parity"), threshold)
+    pairs = stored(near.unionByName(_head_pairs(large.select("members"), threshold)).distinct())
+    discard(texts, several, rows, listed)
+    return pairs
+
+
 def _verified(edges: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """The edges (u, v) of which two texts are similar."""
 
@@ -367,8 +532,10 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: floa
     group of texts that share a sketch the leader is compared with all others. Groups that
     then span several classes are compared in cells (see the module): every pair of
     different classes in a cell is ruled out by its shared shingles, aligned, or found
-    joined by others. Work is linear in a group but for pairs of different classes that
-    share a sketch of FINE_ELL shingles, which meet in cells. n_links counts the links that
+    joined by others. Pairs of different classes that no sketch brought together are then
+    found by their heads, so classes are those of all pairs that reach the threshold. Work
+    is linear in a group but for pairs of different classes that share a sketch of FINE_ELL
+    shingles or a label of their heads, which meet in cells. n_links counts the links that
     were verified at the row's class of equal texts; a class has enough links to connect
     it, not all. Null texts count as empty; all texts without words form one class; rows
     without doc_id get a null class; an empty table gives no rows.
@@ -405,12 +572,23 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: floa
     second = components(more.select(F.col("ru").alias("u"), F.col("rv").alias("v")), rows_in)
     joined = first.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("top"))
     alone = second.join(first.select("node").hint("merge"), "node", "left_anti").select("node", F.col("root").alias("top"))
-    roots = joined.unionByName(alone)
-    ends = links.unionByName(more.select("u", "v").distinct())
+    roots = joined.unionByName(alone).withColumnRenamed("node", "id")
+    tops = stored(classes.filter("n > 0").select("id").distinct().join(roots.hint("merge"), "id", "left").select("id", F.coalesce("top", "id").alias("root")), rows_in)
+    # what sketches left
+    rest = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    pairs = _left_over(rest, tops, k, threshold)
+    which = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    texts = stored(rest.join(which, "id", "left_semi").distinct(), rows_in * count)
+    last = stored(_verified(pairs, texts, k, threshold).distinct())
+    ends_of = last.join(tops.select(F.col("id").alias("u"), F.col("root").alias("ru")).hint("merge"), "u").join(tops.select(F.col("id").alias("v"), F.col("root").alias("rv")).hint("merge"), "v")
+    third = components(ends_of.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+    discard(pairs, texts)
+    roots = tops.join(third.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge"), "root", "left").select("id", F.coalesce("top", "root").alias("top"))
+    ends = links.unionByName(more.select("u", "v").distinct()).unionByName(last)
     touched = ends.select(F.col("u").alias("id")).unionByName(ends.select(F.col("v").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = classes.select("t1", "t2", "id").join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(touched.hint("merge"), "id", "left")
+    named = classes.select("t1", "t2", "id").join(roots.hint("merge"), "id", "left").join(touched.hint("merge"), "id", "left")
     named = stored(named.select("t1", "t2", F.coalesce("top", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), rows_in)
-    discard(classes, links, more, first)
+    discard(classes, links, more, first, tops, last)
     with_id = known.select("doc_id", "t1", "t2").join(named.hint("merge"), ["t1", "t2"]).select("doc_id", "class_id", "n_links")
     without = profiles.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return with_id.unionByName(without)
