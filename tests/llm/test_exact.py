@@ -138,6 +138,33 @@ def test_near_duplicates_that_sketches_miss(spark):
         assert out == brute_classes(rows, args.get("threshold", 0.8))
 
 
+def test_cells_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Four times the copies of one original, like it or a little less than enough, make about four times the members of cells."""
+    from tideloom.llm import neardup
+
+    made, dealt = [], neardup._dealt
+
+    def counted(*args, **more):
+        made[-1] += (out := dealt(*args, **more)).count()
+        return out
+
+    monkeypatch.setattr(neardup, "_dealt", counted)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    for size in (400, 1600):
+        made.append(0)
+        rows, edits = [(0, " ".join(base))], [0]
+        for i in range(1, size):
+            w = list(base)
+            edits.append(rng.randint(1, 5))
+            for at in rng.sample(range(7, 143, 8), edits[-1]):  # each takes five of the 146 shingles
+                w[at] = f"x{rng.randint(0, 10**9)}"
+            rows.append((i, " ".join(w)))
+        expected = {i: 0 if e <= 3 else i for i, e in enumerate(edits)}
+        assert {r["doc_id"]: r["class_id"] for r in collect(neardup.near_duplicates(make(spark, rows)))} == expected
+    assert made[1] < 6 * made[0], made
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
 def test_heads_and_parities_rule_out_no_similar_pair(threshold):
     from tideloom.llm.neardup import heads, labels_of, parities, parity_distance, shingles

@@ -9,14 +9,17 @@ share of all shingles of both, reach the threshold.
 First the leader of each group of texts that share a sketch meets the others. Groups that
 still span several classes are compared in cells of bounded size, in which only pairs of
 different classes count: small groups as they are; texts of large ones are sketched anew
-with more shingles a sketch, which parts texts that share no more than a passage. A cell
-gives links that join its classes, at most one a text, and never lists its pairs.
+with more shingles a sketch, which parts texts that share no more than a passage, and meet
+where that gives small groups. A cell gives links that join its classes, at most one a text,
+and never lists its pairs.
 
 Sketches find a link with a probability. What they leave is found for certain: in one order
 of all labelled shingles, common ones last, two similar texts share one among the first
 n - ceil(threshold * n) + 1 of each (its head). Heads that meet in several classes are
 compared by length, place and the parities of their shingles, none of which rules out a
-similar pair, and the pairs left are aligned.
+similar pair, and the pairs left are aligned. In a large group all meet first the text with
+the least of its own before the common shingle, which joins copies of one original; of the
+rest stays who may, by length and place, have a similar text in another class.
 """
 
 from __future__ import annotations
@@ -317,11 +320,19 @@ def _open(rows: DataFrame) -> DataFrame:
     return sums.filter("low < high").groupBy("size", "shingles", "x", "y").agg(F.min("key").alias("key")).select("key", "size", "shingles")
 
 
-def _dealt(rows: DataFrame, parts: Column, *more: str) -> DataFrame:
-    """(key, a, b, half, id, root, more) of the members of each cell, groups being in so many parts."""
-    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+def _dealt(rows: DataFrame, parts: Column, *more: str, main: Column | None = None) -> DataFrame:
+    """(key, a, b, half, id, root, more) of the members of each cell, groups being in so many parts.
+
+    main: so many more parts for the rows whose column main holds; these meet no part of main ones.
+    """
+    own, last = F.pmod(F.xxhash64("id"), F.col("parts")), F.col("parts") - 1
+    rows = rows.withColumn("parts", parts)
+    if main is not None:
+        rows = rows.withColumn("more", main)
+        own = F.when(F.col("main"), F.col("parts") + F.pmod(F.xxhash64("id"), F.greatest("more", F.lit(1)))).otherwise(own)
+        last = F.when(F.col("main"), last).otherwise(last + F.col("more"))
     # a group in several parts has a cell for every two of them and one for each alone
-    dealt = rows.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("half"), "id", "root", *more)
 
 
@@ -491,25 +502,6 @@ def _near_parity(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     return both.mapInArrow(run, "u long, v long")
 
 
-def _left_over(docs: DataFrame, roots: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(u, v) that may be similar and have different roots, no similar one missing. docs: id, text; roots: id, root."""
-    common = _common(docs.withColumnRenamed("id", "doc_id"), k)
-    texts = stored(_heads(docs, k, threshold, common).join(roots.hint("merge"), "id"))
-    shared = texts.select("root", F.explode("head").alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-    several = stored(shared.filter("low < high").select("key", "size"))
-    rows = stored(texts.select("id", "root", "n", F.posexplode("head").alias("place", "key")).join(several.hint("merge"), "key"))
-    dealt = _dealt(rows, F.ceil(F.col("size") / CELL_TEXTS), "size", "n", "place")
-    members = ["id", "root", "half", "n", "place"]
-    # pairs of small groups are listed and then compared by parities; cells of large ones hold the parities and list what these leave
-    small = dealt.filter(F.col("size") <= CELL_TEXTS).groupBy("key", "a", "b").agg(F.collect_list(F.struct(*members)).alias("members"))
-    large = dealt.filter(F.col("size") > CELL_TEXTS).join(texts.select("id", "parity").hint("merge"), "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct(*members, "parity")).alias("members"))
-    listed = stored(_head_pairs(small.select("members"), threshold))
-    near = _near_parity(listed, texts.select("id", "n", "parity"), threshold)
-    pairs = stored(near.unionByName(_head_pairs(large.select("members"), threshold)).distinct())
-    discard(texts, several, rows, listed)
-    return pairs
-
-
 def _verified(edges: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """The edges (u, v) of which two texts are similar."""
 
@@ -524,6 +516,105 @@ def _verified(edges: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
     return both.select("u", "v", "text", "other").mapInArrow(run, "u long, v long")
 
 
+def _joined(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the roots that the links (u, v) join. roots: id, root."""
+    ends = links.join(roots.select(F.col("id").alias("u"), F.col("root").alias("ru")).hint("merge"), "u").join(roots.select(F.col("id").alias("v"), F.col("root").alias("rv")).hint("merge"), "v")
+    return components(ends.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+
+
+def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of the ends of the pairs (u, v), stored."""
+    which = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    return stored(docs.join(which, "id", "left_semi").distinct())
+
+
+def _led(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((key, leader, lead), (u, v)): the leader of each group and its root, and who may be similar to it.
+
+    rows: key, id, root, n, place. The leader has the fewest labels before the group's own.
+    """
+    leaders = rows.groupBy("key").agg(F.min(F.struct("place", "n", "id", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+    leaders = stored(leaders.filter("low < high").select("key", F.col("first.id").alias("leader"), F.col("first.root").alias("lead"), F.col("first.n").alias("m"), F.col("first.place").alias("at")))
+    met = rows.join(leaders.hint("merge"), "key").filter("root <> lead").withColumn("reach", _reach(threshold))
+    met = met.filter((F.col("m") <= F.col("reach")) & (F.col("n") <= _reach(threshold, "m", "at")))
+    return leaders, met.select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v")).distinct()
+
+
+def _reach(threshold: float, n: str = "n", place: str = "place") -> Column:
+    """Most shingles of a text that may be similar to one of n, if it shares none before the place."""
+    return F.floor((F.col(n) - F.col(place)) * ((1 + threshold) / threshold) + 1e-6) - F.col(n)
+
+
+def _apart(rows: DataFrame, leaders: DataFrame, threshold: float) -> DataFrame:
+    """The rows that may be similar to one of another root, with `main` (of the leader's root), and how many are main and are not.
+
+    Length and place of a row are held against the extremes of those it may be similar to:
+    for main rows these are not main.
+    """
+    rows, before = rows.join(leaders.select("key", "lead").hint("merge"), "key").withColumn("main", F.col("root") == F.col("lead")).drop("lead").withColumn("reach", _reach(threshold)), []
+    rest = F.when(~F.col("main"), F.lit(True))
+    extremes = [F.min("n").alias("low"), F.max("reach").alias("top"), F.min(F.when(rest, F.col("n"))).alias("rest_low"), F.max(F.when(rest, F.col("reach"))).alias("rest_top")]
+    counts = [F.count(F.when(F.col("main"), True)).alias("mains"), F.count(rest).alias("rests")]
+    for _ in range(2):  # those that go may have been the extremes
+        bounds = stored(rows.groupBy("key").agg(*extremes).filter("rest_low IS NOT NULL"))
+        low, top = F.when(F.col("main"), F.col("rest_low")).otherwise(F.col("low")), F.when(F.col("main"), F.col("rest_top")).otherwise(F.col("top"))
+        kept = stored(rows.join(bounds.hint("merge"), "key").filter((F.col("reach") >= low) & (F.col("n") <= top)).select("key", "id", "root", "n", "place", "main", "reach"))
+        discard(bounds, *before)
+        rows, before = kept, [kept]
+    sizes = stored(rows.groupBy("key").agg(*counts).filter("rests > 0"))
+    out = stored(rows.join(sizes.hint("merge"), "key"))
+    discard(rows, sizes)
+    return out
+
+
+def _left_over(docs: DataFrame, roots: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((u, v), (u, v)): links found, and pairs that may be similar and have different roots; with the links no similar one is missing.
+
+    docs: id, text; roots: id, root.
+    """
+    common = _common(docs.withColumnRenamed("id", "doc_id"), k)
+    texts = stored(_heads(docs, k, threshold, common).join(roots.hint("merge"), "id"))
+    shared = texts.select("root", F.explode("head").alias("key")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+    several = stored(shared.filter("low < high").select("key", "size"))
+    hot = stored(several.filter(F.col("size") > CELL_TEXTS).select("key"))
+    parities_of, members = texts.select("id", "n", "parity"), ["id", "root", "half", "n", "place"]
+
+    def heads_of(some: DataFrame) -> DataFrame:
+        return some.select("id", "root", "n", F.posexplode("head").alias("place", "key"))
+
+    # all of a large group meet its leader
+    rows = stored(heads_of(texts).join(hot, "key"))
+    leaders, met = _led(rows, threshold)
+    links = met = stored(met)
+    used, rooted = [texts, several, hot], texts
+    if not met.isEmpty():
+        near = stored(_near_parity(met, parities_of, threshold))
+        own = _texts_of(docs, near)
+        links = stored(_verified(near, own, k, threshold).distinct())
+        tops = stored(_joined(links, roots))
+        top = tops.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge")
+        rooted = texts.select("id", "root", "n", "head").join(top, "root", "left").withColumn("root", F.coalesce("top", "root"))
+        again = stored(rows.join(top, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"))
+        leaders_again = stored(leaders.join(top.withColumnRenamed("root", "lead"), "lead", "left").select("key", F.coalesce("top", "lead").alias("lead")))
+        discard(rows, leaders, met, near, own)
+        rows, leaders = again, leaders_again
+        used.append(tops)
+    # pairs of small groups are listed and then compared by parities; cells of large ones hold the parities and list what these leave
+    few = heads_of(rooted).join(several.filter(F.col("size") <= CELL_TEXTS).select("key").hint("merge"), "key")
+    small = _dealt(few, F.lit(1).cast("long"), "n", "place").groupBy("key", "a", "b").agg(F.collect_list(F.struct(*members)).alias("members"))
+    listed = stored(_head_pairs(small.select("members"), threshold))
+    pairs = _near_parity(listed, parities_of, threshold)
+    if not leaders.isEmpty():
+        apart = _apart(rows, leaders, threshold)
+        dealt = _dealt(apart, F.ceil(F.col("rests") / CELL_TEXTS), "n", "place", main=F.ceil(F.col("mains") / CELL_TEXTS))
+        large = dealt.join(texts.select("id", "parity").hint("merge"), "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct(*members, "parity")).alias("members"))
+        pairs = pairs.unionByName(_head_pairs(large.select("members"), threshold))
+        used.append(apart)
+    pairs = stored(pairs.distinct())
+    discard(*used, rows, leaders, listed)
+    return links, pairs
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: float = THRESHOLD, count: int = SKETCHES, ell: int = ELL) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of its class) and n_links.
 
@@ -534,8 +625,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: floa
     different classes in a cell is ruled out by its shared shingles, aligned, or found
     joined by others. Pairs of different classes that no sketch brought together are then
     found by their heads, so classes are those of all pairs that reach the threshold. Work
-    is linear in a group but for pairs of different classes that share a sketch of FINE_ELL
-    shingles or a label of their heads, which meet in cells. n_links counts the links that
+    is linear in a group but for texts of a head's group of more than CELL_TEXTS that are in
+    another class than its leader and that length and place do not rule out: these meet each
+    other, and the like of the leader's class, in cells. n_links counts the links that
     were verified at the row's class of equal texts; a class has enough links to connect
     it, not all. Null texts count as empty; all texts without words form one class; rows
     without doc_id get a null class; an empty table gives no rows.
@@ -564,7 +656,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: floa
     small = open_groups.filter(F.col("size") <= CELL_TEXTS)
     large = tagged.join(open_groups.filter(F.col("size") > CELL_TEXTS).select("key").hint("merge"), "key", "left_semi").groupBy("id").agg(F.min("root").alias("root"), F.max("n").alias("n"))
     fine = stored(_fine(large.join(texts.hint("merge"), "id"), k, FINE_SKETCHES, FINE_ELL))
-    fine_groups = stored(_open(fine), rows_in * count)
+    fine_groups = stored(_open(fine).filter(F.col("size") <= CELL_TEXTS), rows_in * count)  # larger ones wait for the heads
     columns = ["key", "id", "root", "size", "shingles"]
     cells = tagged.join(small.hint("merge"), "key").select(columns).unionByName(fine.join(fine_groups.hint("merge"), "key").select(columns))
     more = stored(_linked(_cells(cells, texts), k, threshold))
@@ -576,13 +668,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: floa
     tops = stored(classes.filter("n > 0").select("id").distinct().join(roots.hint("merge"), "id", "left").select("id", F.coalesce("top", "id").alias("root")), rows_in)
     # what sketches left
     rest = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    pairs = _left_over(rest, tops, k, threshold)
-    which = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = stored(rest.join(which, "id", "left_semi").distinct(), rows_in * count)
-    last = stored(_verified(pairs, texts, k, threshold).distinct())
-    ends_of = last.join(tops.select(F.col("id").alias("u"), F.col("root").alias("ru")).hint("merge"), "u").join(tops.select(F.col("id").alias("v"), F.col("root").alias("rv")).hint("merge"), "v")
-    third = components(ends_of.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
-    discard(pairs, texts)
+    led, pairs = _left_over(rest, tops, k, threshold)
+    texts = _texts_of(rest, pairs)
+    last = stored(led.unionByName(_verified(pairs, texts, k, threshold)).distinct())
+    third = _joined(last, tops)
+    discard(pairs, texts, led)
     roots = tops.join(third.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge"), "root", "left").select("id", F.coalesce("top", "root").alias("top"))
     ends = links.unionByName(more.select("u", "v").distinct()).unionByName(last)
     touched = ends.select(F.col("u").alias("id")).unionByName(ends.select(F.col("v").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
