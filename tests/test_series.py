@@ -100,3 +100,24 @@ def test_every_event_is_counted(spark, sf):
     late = S.bin_events(spark.createDataFrame([(1, 0.5), (2, 99.5), (2, 30.0)], "id long, at double"), 10.0)
     assert sorted((r.id, r.bin) for r in late.filter("n = 1").collect()) == [(1, 0), (2, 3), (2, 9)] and late.count() == 20
     assert QUERIES["kernel_rate_all"](spark, sf).filter("bin = 29 AND rate > 0").count() > 0
+
+
+#: Their squared distances have ties at the quantile, equal but for the last bit.
+TIED = [
+    [161.48, 25.31, 23.86, 18.87, 1.29, 32.2, 1.57, 5.27, 6.81, 4.05, 59.02, 162.9, 29.91, 93.5, 19.13, 1.16, 263.81, 3.38, 62.55, 60.2, 22.0, 107.37, 36.8, 17.43, 115.47, 53.67, 6.97, 1.9, 13.13, 9.93, 86.27, 49.27, 45.93, 2.9, 5.77, 5.95, 30.39, 7.48, 150.18, 108.16, 36.6, 27.83, 33.66, 2.41, 61.11, 170.94, 28.91, 8.52, 44.0, 50.58, 16.47, 46.51, 6.1, 30.78, 88.81, 6.19, 76.4, 83.13, 94.14],
+    [96.11, 1.55, 56.8, 29.82, 67.81, 2.76, 14.34, 19.49, 14.58, 2.77, 38.79, 13.66, 17.96, 118.48, 23.43, 37.1, 59.21, 149.71, 99.08, 43.4, 86.93, 18.67, 13.66, 34.45, 9.99, 71.83, 20.12, 33.21, 5.82, 7.75, 129.59, 143.97, 81.59, 1.79, 49.4, 81.78, 86.75, 5.69, 49.0, 47.72, 1.39, 31.44, 28.14, 37.89, 31.83, 24.11, 20.39, 21.55, 34.32, 64.45, 0.66, 63.73, 101.34, 1.83, 8.0, 55.44, 37.58, 65.4, 37.2, 188.87, 38.47, 81.34, 30.66, 57.39, 19.59],
+]
+
+
+def test_recurrence_ties_as_in_sql(spark):
+    import duckdb
+
+    from tideloom.plans.catalogue import ORACLE_SQL
+
+    events = [(i, t, v) for i, x in enumerate(TIED) for t, v in enumerate(x)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS user_id, t AS ts, t AS event_id, v AS value FROM (VALUES " + ", ".join(f"({i}, {t}, {v}::DOUBLE)" for i, t, v in events) + ") AS e(i, t, v)")
+    series = spark.createDataFrame(events, "id int, t long, v double")
+    assert {tuple(r) for r in S.recurrence_blocks(series, 8).collect()} == set(con.execute(ORACLE_SQL["recurrence_blocks"]).fetchall())
+    ours = {r.id: (round(r.eps, 6), round(r.rate, 6)) for r in S.recurrence(series).collect()}
+    assert ours == {r[0]: r[1:] for r in con.execute(ORACLE_SQL["recurrence_rate"]).fetchall()}

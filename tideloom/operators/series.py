@@ -347,19 +347,33 @@ def reversibility(series: DataFrame, lags: list[int]) -> DataFrame:
 
 
 def _delay_distances(x: list[float], lag: int, quantile: float) -> tuple[np.ndarray, float, np.ndarray] | None:
-    """(squared distances of a series' 3-point delay vectors, their quantile over pairs, distances of pairs); None below two vectors."""
-    z = np.asarray(x, float)
-    sd = z.std()
-    z = (z - z.mean()) / (sd if sd > 0 else 1.0)
-    m = len(z) - 2 * lag
+    """(squared distances of a series' 3-point delay vectors, their quantile over pairs, distances of pairs); None below two vectors.
+
+    Values of few digits give equal distances that differ in the last bit, and whole pairs hang on it where the
+    quantile meets such a tie. So every sum runs in SQL's order: the mean and the deviation (Welford) value by value
+    in time, the quantile as lower + (upper - lower) * fraction.
+    """
+    x = np.asarray(x, float)
+    mean = spread = total = 0.0
+    for n, v in enumerate(x.tolist(), 1):
+        total += v
+        off = v - mean
+        mean += off / n
+        spread += off * (v - mean)
+    m = len(x) - 2 * lag
     if m < 2:
         return None
+    sd = math.sqrt(spread / len(x))
+    z = (x - total / len(x)) / (sd if sd > 0 else 1.0)
     d = np.zeros((m, m))
     for k in range(3):
         e = z[k * lag : k * lag + m]
         d += (e[:, None] - e[None]) ** 2
     pairs = d[np.triu_indices(m, 1)]
-    return d, float(np.quantile(pairs, quantile)), pairs
+    at = (len(pairs) - 1) * quantile
+    low, high = math.floor(at), math.ceil(at)
+    part = np.partition(pairs, (low, high))
+    return d, float(part[low] + (part[high] - part[low]) * (at - low)), pairs
 
 
 def recurrence(series: DataFrame, lag: int = 1, quantile: float = 0.1) -> DataFrame:
