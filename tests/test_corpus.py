@@ -255,3 +255,12 @@ def test_nearest_by_tiles(spark, monkeypatch):
             want |= {(i, rank): (j, e) for rank, (e, j) in enumerate(sorted(near)[:k], 1)}
         assert ours.keys() == want.keys() and all(ours[p][0] == want[p][0] and abs(ours[p][1] - want[p][1]) < 1e-6 * max(1, want[p][1]) for p in want)
         assert "row_number" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["screen_full_summary"])
+def test_screen_makes_no_row_a_pair(spark, sf, name):
+    import re
+
+    from tideloom.plans.catalogue import QUERIES
+
+    assert not re.search(r"\(a#\d+L? < b#", QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString())
