@@ -257,7 +257,7 @@ def test_nearest_by_tiles(spark, monkeypatch):
         assert "row_number" not in out._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["screen_full_summary"])
+@pytest.mark.parametrize("name", ["screen_full_summary", "screen_full"])
 def test_screen_makes_no_row_a_pair(spark, sf, name):
     import re
 
