@@ -264,3 +264,10 @@ def test_screen_makes_no_row_a_pair(spark, sf, name):
     from tideloom.plans.catalogue import QUERIES
 
     assert not re.search(r"\(a#\d+L? < b#", QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString())
+
+
+@pytest.mark.parametrize("name", ["lookalikes16", "median_nn", "knn8", "coverage_gaps"])
+def test_neighbours_rank_no_rows(spark, sf, name):
+    from tideloom.plans.catalogue import QUERIES
+
+    assert "row_number" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()  # ranked in numpy
